@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import rankfuse, terms
+from cairn.llm import neardup, rankfuse, terms
 from cairn.sources.tables import table
 
 SCORES = ["score", "bm25_score", "embed_score"]
@@ -43,6 +43,19 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", "place", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records whose sets of three consecutive words have a similarity of at least 0.6."""
+    docs = table(spark, d, "documents_idx").select("doc_id", "content")
+    pairs = neardup.all_pairs(*neardup.near_duplicates(docs, "doc_id", "content", words=3, threshold=0.6))
+    return pairs.toDF("doc_id_a", "doc_id_b")
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each text of documents with its class of copies and the number of near-duplicate classes (five words, 0.8)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return neardup.link_counts(*neardup.near_duplicates(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 _POSTINGS = """
 WITH r AS (SELECT DISTINCT doc_id FROM documents_idx WHERE content IS NOT NULL AND doc_id IS NOT NULL),
 p AS (SELECT token, doc_id, max(tf)::BIGINT AS tf FROM postings WHERE token IS NOT NULL AND tf >= 1 AND doc_id IN (SELECT doc_id FROM r) GROUP BY ALL),
@@ -63,13 +76,26 @@ m AS (SELECT query_id, doc_id, median(place) AS median_rank, avg(place) AS mean_
 o AS (SELECT query_id, doc_id, median_rank, mean_rank FROM (SELECT DISTINCT query_id, doc_id FROM v) LEFT JOIN m USING (query_id, doc_id)),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank NULLS LAST, mean_rank NULLS LAST, doc_id) AS place FROM o)
 """
+_WORDS = """
+WITH r AS (SELECT {id} AS id, min({text}) AS text FROM {table} WHERE {id} IS NOT NULL GROUP BY 1),
+w AS (SELECT id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+'), lambda x: lower(x)) AS w FROM r),
+s AS (SELECT DISTINCT id, sh FROM (SELECT id, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS sh FROM w WHERE len(w) >= {k})),
+n AS (SELECT id, count(*) AS n, md5(string_agg(sh, '|' ORDER BY sh)) AS h FROM s GROUP BY 1),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY ALL),
+j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= {t})
+"""
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking}
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p6_found": p6_found, "p6_links": p6_links}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
     "p1_top_terms": _POSTINGS + """, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token) AS place FROM w)
   SELECT doc_id, place, token, round(weight, 6) AS weight FROM b WHERE place <= 5""",
     "p2_found": _RANKS + "SELECT query_id, doc_id FROM t WHERE place = 1",
+    "p6_found": _WORDS.format(id="doc_id", text="content", table="documents_idx", k=3, t=0.6) + "SELECT a AS doc_id_a, b AS doc_id_b FROM j",
+    "p6_links": _WORDS.format(id="doc_id", text="text", table="documents", k=5, t=0.8) + """, m AS (SELECT id, h, min(id) OVER (PARTITION BY h) AS rep,
+  count(*) OVER (PARTITION BY h) AS class_size FROM n), e AS (SELECT x.rep AS p, y.rep AS q FROM j JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep GROUP BY ALL),
+  k AS (SELECT rep, count(DISTINCT o) AS n_links FROM (SELECT p AS rep, q AS o FROM e UNION ALL SELECT q, p FROM e) GROUP BY 1)
+  SELECT id AS doc_id, m.rep AS rep, class_size, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN k USING (rep)""",
     "p2_ranking": _RANKS + "SELECT query_id, doc_id, place, round(median_rank, 6) AS median_rank, round(mean_rank, 6) AS mean_rank FROM t",
 }
