@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import neardup, rankfuse, terms
+from cairn.llm import neardup, neighbours, rankfuse, terms
 from cairn.sources.tables import table
 
 SCORES = ["score", "bm25_score", "embed_score"]
@@ -56,6 +56,23 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     return neardup.link_counts(*neardup.near_duplicates(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest other vectors of each item asked about, in its own table."""
+    found = []
+    for purpose, name, key, vec in (("doc_neighbours", "doc_vec", "doc_id", "q"), ("token_neighbours", "token_vec", "token", "vec")):
+        index = neighbours.VectorIndex(table(spark, d, name), key, vec)
+        probes = table(spark, d, "probes").where((F.col("purpose") == purpose) & F.col("target_id").isNotNull()).select("probe_id", F.col("target_id").alias("id"))
+        targets = index.vectors.join(probes.select("id").distinct(), "id", "left_semi")
+        found.append(probes.join(index.search(targets), "id").select("probe_id", "neighbour"))
+    return found[0].unionByName(found[1])
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest other vectors of every document vector."""
+    near = neighbours.VectorIndex(table(spark, d, "doc_vec"), "doc_id", "q").neighbours_of_all()
+    return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
 _POSTINGS = """
 WITH r AS (SELECT DISTINCT doc_id FROM documents_idx WHERE content IS NOT NULL AND doc_id IS NOT NULL),
 p AS (SELECT token, doc_id, max(tf)::BIGINT AS tf FROM postings WHERE token IS NOT NULL AND tf >= 1 AND doc_id IN (SELECT doc_id FROM r) GROUP BY ALL),
@@ -85,7 +102,8 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.s
 j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= {t})
 """
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p6_found": p6_found, "p6_links": p6_links}
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p6_found": p6_found, "p6_links": p6_links,
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
