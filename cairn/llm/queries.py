@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import neardup, neighbours, rankfuse, terms
+from cairn.llm import neardup, neighbours, rankfuse, terms, vocabulary
 from cairn.sources.tables import table
 
 SCORES = ["score", "bm25_score", "embed_score"]
@@ -43,6 +43,17 @@ def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "doc_id", "place", F.round("median_rank", 6).alias("median_rank"), F.round("mean_rank", 6).alias("mean_rank"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Useless terms under each configuration: rare, common or cut."""
+    vocab, n = vocabulary.vocabulary(table(spark, d, "postings"), _records(spark, d))
+    return vocabulary.marks(vocab, n, table(spark, d, "embed_config"))
+
+
+def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Uses and records of every term."""
+    return vocabulary.vocabulary(table(spark, d, "postings"), _records(spark, d))[0]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose sets of three consecutive words have a similarity of at least 0.6."""
     docs = table(spark, d, "documents_idx").select("doc_id", "content")
@@ -102,7 +113,7 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.s
 j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= {t})
 """
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p6_found": p6_found, "p6_links": p6_links,
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p6_found": p6_found, "p6_links": p6_links,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
@@ -110,6 +121,11 @@ ORACLES = {
     "p1_top_terms": _POSTINGS + """, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token) AS place FROM w)
   SELECT doc_id, place, token, round(weight, 6) AS weight FROM b WHERE place <= 5""",
     "p2_found": _RANKS + "SELECT query_id, doc_id FROM t WHERE place = 1",
+    "p4_found": _POSTINGS + """, c AS (SELECT DISTINCT config_id, min_frequency, max_vocab FROM embed_config),
+  x AS (SELECT config_id, token, uses, df, max_vocab, uses < min_frequency AS rare, row_number() OVER (PARTITION BY config_id ORDER BY uses < min_frequency, uses DESC, token) AS place FROM f, c)
+  SELECT config_id, token, 'rare' AS mark FROM x WHERE rare UNION ALL SELECT config_id, token, 'common' FROM x, s WHERE df * 2 >= n
+  UNION ALL SELECT config_id, token, 'cut' FROM x WHERE NOT rare AND max_vocab > 0 AND place > max_vocab""",
+    "p4_frequencies": _POSTINGS + "SELECT token, uses, df, row_number() OVER (ORDER BY uses DESC, token) AS place FROM f",
     "p6_found": _WORDS.format(id="doc_id", text="content", table="documents_idx", k=3, t=0.6) + "SELECT a AS doc_id_a, b AS doc_id_b FROM j",
     "p6_links": _WORDS.format(id="doc_id", text="text", table="documents", k=5, t=0.8) + """, m AS (SELECT id, h, min(id) OVER (PARTITION BY h) AS rep,
   count(*) OVER (PARTITION BY h) AS class_size FROM n), e AS (SELECT x.rep AS p, y.rep AS q FROM j JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep GROUP BY ALL),
