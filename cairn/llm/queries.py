@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import neardup, neighbours, rankfuse, terms, vocabulary
+from cairn.llm import mixture, neardup, neighbours, packing, rankfuse, terms, tokens, vocabulary
+from cairn.session import materialize
 from cairn.sources.tables import table
 
 SCORES = ["score", "bm25_score", "embed_score"]
@@ -84,6 +85,51 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
 
 
+def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    """The parameter table of container sizes."""
+    rows = table(spark, d, "pack_capacity").where("pack_id IS NOT NULL AND capacity_tokens > 0").distinct().orderBy("pack_id", "capacity_tokens").collect()
+    return [(r["pack_id"], r["capacity_tokens"]) for r in rows]
+
+
+def _packs(spark: SparkSession, d: str) -> DataFrame:
+    sized = packing.sized(table(spark, d, "documents"))
+    out = None
+    for pack_id, capacity in _capacities(spark, d):
+        one = packing.pack(sized, [capacity]).withColumn("pack_id", F.lit(pack_id).cast("bigint"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else packing.pack(sized, []).withColumn("pack_id", F.lit(None).cast("bigint"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or piece of a text larger than the container, in its container, for each capacity."""
+    return _packs(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and part of their room filled, for each capacity."""
+    return packing.report(_packs(spark, d), "pack_id")
+
+
+def p8_joint(spark: SparkSession, d: str) -> DataFrame:
+    """All capacities permitted at once: every text in a container downsized to its contents."""
+    return packing.pack(packing.sized(table(spark, d, "documents")), [c for _, c in _capacities(spark, d)])
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sized = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return mixture.mixture(materialize(mixture.usable(sized), "sized"), table(spark, d, "mix_target"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of each mixture in reading order."""
+    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached shares of each source of each mixture."""
+    return mixture.reached(materialize(_mixed(spark, d), "mixed"), table(spark, d, "mix_target"))
+
+
 _POSTINGS = """
 WITH r AS (SELECT DISTINCT doc_id FROM documents_idx WHERE content IS NOT NULL AND doc_id IS NOT NULL),
 p AS (SELECT token, doc_id, max(tf)::BIGINT AS tf FROM postings WHERE token IS NOT NULL AND tf >= 1 AND doc_id IN (SELECT doc_id FROM r) GROUP BY ALL),
@@ -114,7 +160,8 @@ j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.
 """
 
 QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p6_found": p6_found, "p6_links": p6_links,
-    "p7_found": p7_found, "p7_neighbours": p7_neighbours}
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
