@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import mixture, neardup, neighbours, packing, rankfuse, terms, tokens, vocabulary
+from cairn.llm import markup, mixture, neardup, neighbours, packing, rankfuse, terms, tokens, vocabulary
 from cairn.session import materialize
 from cairn.sources.tables import table
 
@@ -55,6 +55,23 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary.vocabulary(table(spark, d, "postings"), _records(spark, d))[0]
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with markup, and their headings, list items, code blocks and formulas in reading order."""
+    docs = table(spark, d, "documents_idx").select("doc_id", "path", "content")
+    return markup.structure(markup.extract(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    """Clean text of every record."""
+    docs = table(spark, d, "documents_idx").select("doc_id", "path", "content")
+    return markup.clean_text(markup.extract(docs)).withColumnRenamed("id", "doc_id")
+
+
+def p5_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The vote on container paths of each host."""
+    return markup.votes(markup.pages(table(spark, d, "documents_idx").select("doc_id", "path", "content")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose sets of three consecutive words have a similarity of at least 0.6."""
     docs = table(spark, d, "documents_idx").select("doc_id", "content")
@@ -159,7 +176,8 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.s
 j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= {t})
 """
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p6_found": p6_found, "p6_links": p6_links,
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes,
+    "p6_found": p6_found, "p6_links": p6_links,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares}
 ORACLES = {
