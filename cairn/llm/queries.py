@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import markup, mixture, neardup, neighbours, packing, rankfuse, terms, tokens, vocabulary
+from cairn.llm import markup, mixture, neardup, neighbours, packing, rankfuse, subjects, terms, tokens, vocabulary
 from cairn.session import materialize
 from cairn.sources.tables import table
 
@@ -147,6 +147,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.reached(materialize(_mixed(spark, d), "mixed"), table(spark, d, "mix_target"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    model = subjects.SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+    return model.document_subjects()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of every document."""
+    return _subjects(spark, d).select(F.col("id").alias("doc_id"), "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """What the corpus is about."""
+    return subjects.composition(_subjects(spark, d))
+
+
 _POSTINGS = """
 WITH r AS (SELECT DISTINCT doc_id FROM documents_idx WHERE content IS NOT NULL AND doc_id IS NOT NULL),
 p AS (SELECT token, doc_id, max(tf)::BIGINT AS tf FROM postings WHERE token IS NOT NULL AND tf >= 1 AND doc_id IN (SELECT doc_id FROM r) GROUP BY ALL),
@@ -179,7 +194,7 @@ j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.
 QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes,
     "p6_found": p6_found, "p6_links": p6_links,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares}
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
