@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import feed
+from cairn.plans import feed, retrieval
 
-MODULES = [feed]
+MODULES = [retrieval, feed]
 
 
 def queries() -> dict:
