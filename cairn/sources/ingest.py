@@ -21,7 +21,7 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, path, title, content, size, status) of all supported files below ``root``.
 
     The size limit reaches the file listing; a file over it is reported without being read. Unreadable files are skipped
-    instead of failing the job.
+    instead of failing the job. Spark's file listing leaves out names that begin with a dot or an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     files = files.where(extension_of(F.col("path")).isin(EXTENSIONS))
