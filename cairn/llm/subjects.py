@@ -89,8 +89,26 @@ class Lexicon:
         self.p = p / p.sum(axis=1, keepdims=True) if len(p) else p
         self.log = np.log(self.p / prior) if len(p) else p
 
-    def evidence(self, terms: list[str]) -> list[int]:
-        return [i for i in map(self.at.get, terms) if i is not None]
+        self._known: dict[tuple[int, ...], tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def evidence(self, terms: list[str]) -> tuple[int, ...]:
+        return tuple([i for i in map(self.at.get, terms) if i is not None])
+
+    def judge(self, hit: tuple[int, ...]) -> tuple[int, list[int], list[int]]:
+        """(sure subject or -1, possible subjects by odds, sure subject without each of the terms). Few sets of terms make
+        up most sentences, so answers are kept."""
+        if hit not in self._known:
+            if len(self._known) > 200_000:
+                self._known.clear()
+            score = self.log[list(hit)].sum(axis=0)
+            able = np.flatnonzero(self.p[list(hit)].max(axis=0) > 0.05)
+            order = able[np.argsort(-score[able], kind="stable")].tolist()
+            others = [_sure(score - self.log[i]) for i in hit] if len(hit) > 1 else [-1] * len(hit)
+            self._known[hit] = (_sure(score), order, others)
+        return self._known[hit]
 
 
 def common_terms(read: DataFrame) -> DataFrame:
@@ -142,21 +160,19 @@ def learn_lexicon(read: DataFrame, labels: DataFrame, subjects: list[str]) -> Le
         lex = Lexicon(subjects, counts, flat)
 
         def count(batches: Iterator[pd.DataFrame], lex: Lexicon = lex) -> Iterator[pd.DataFrame]:
+            names = {i: w for w, i in lex.at.items()}
             for pdf in batches:
                 tally: Counter = Counter()
                 for sents in pdf["sents"]:
                     seen = set()
                     for s in sents.split("\n"):
                         terms = s.split(" ")[1:]
-                        known = {w: lex.log[lex.at[w]] for w in terms if w in lex.at}
-                        if not known:
-                            continue
-                        total = np.sum(list(known.values()), axis=0)
-                        full = _sure(total)
-                        for w in terms:
-                            z = full if w not in known else _sure(total - known[w]) if len(known) > 1 else -1
-                            if z >= 0:
-                                seen.add((w, z))
+                        hit = lex.evidence(terms)
+                        if hit:
+                            full, _, others = lex.judge(hit)
+                            if full >= 0:
+                                seen.update([(w, full) for w in terms if w not in lex.at])
+                            seen.update([(names[i], z) for i, z in zip(hit, others) if z >= 0])
                     tally.update(seen)
                 if tally:
                     yield pd.DataFrame([(w, lex.subjects[z], float(n)) for (w, z), n in tally.items()], columns=["w", "s", "n"])
@@ -182,11 +198,8 @@ def _lexical(sents: str, lex: Lexicon) -> list[tuple[int, int, list[int]]]:
         par, *terms = s.split(" ")
         hit = lex.evidence(terms)
         if hit:
-            score = lex.log[hit].sum(axis=0)
-            vote = _sure(score)
-            able = np.flatnonzero(lex.p[hit].max(axis=0) > 0.05)
-            order = able[np.argsort(-score[able], kind="stable")]
-            out.append((int(par), vote, [int(x) for x in order]))
+            vote, order, _ = lex.judge(hit)
+            out.append((int(par), vote, order))
     return out
 
 
@@ -303,10 +316,9 @@ class SubjectModel:
                 if not len(pdf):
                     continue
                 post = posterior(pdf[list(FUNCTIONS)].to_numpy(), acc, prior)
-                for i, able in enumerate(pdf["able"]):
-                    mask = np.zeros(len(prior), dtype=bool)
-                    mask[list(able)] = True
-                    post[i, ~mask] = 0
+                mask = np.zeros(post.shape, dtype=bool)
+                mask[np.repeat(np.arange(len(pdf)), pdf["able"].map(len)), np.concatenate(pdf["able"].to_numpy())] = True
+                post[~mask] = 0
                 best = post.argmax(axis=1)
                 yield pd.DataFrame({"id": pdf["id"], "s": best.astype(np.int32), "p": post[np.arange(len(post)), best] / post.sum(axis=1)})
 
