@@ -40,8 +40,9 @@ from cairn.session import materialize
 SHARE = 0.2
 #: Labelled documents that start the lexicon, terms that it may hold, rounds of counting over all documents.
 LABELLED, LEXICON, ROUNDS = 20_000, 20_000, 3
-#: A term of more than this part of a language's documents is no term of a subject; languages below the second part don't judge.
-COMMON, LEAST_LANGUAGE = 0.15, 0.03
+#: A term that stands in more of a language's documents than this times 1 / number of subjects (half of them at most) is no
+#: term of a subject; languages with less than the second part of all documents don't judge.
+COMMON, LEAST_LANGUAGE = 1.35, 0.03
 _G_MIN, _TOP3 = 12.0, 0.85
 SEED_DOCS, SEED_G = 1.5, 2.5
 
@@ -85,7 +86,7 @@ class Lexicon:
     def __init__(self, subjects: list[str], counts: dict[str, np.ndarray], prior: np.ndarray):
         self.subjects, self.prior = subjects, prior
         self.at = {w: i for i, w in enumerate(sorted(counts))}
-        p = np.array([(counts[w] + 0.02 * counts[w].sum() * prior + 0.1 * prior) for w in sorted(counts)]).reshape(-1, len(subjects))
+        p = np.array([(counts[w] + 0.02 * counts[w].sum() * prior + 0.1 * prior) for w in sorted(counts)]).reshape(len(counts), len(subjects))
         self.p = p / p.sum(axis=1, keepdims=True) if len(p) else p
         self.log = np.log(self.p / prior) if len(p) else p
 
@@ -111,12 +112,13 @@ class Lexicon:
         return self._known[hit]
 
 
-def common_terms(read: DataFrame) -> DataFrame:
-    """(w): the terms that are common in one of the larger languages; at most 1 / ``COMMON`` times a text's terms each."""
+def common_terms(read: DataFrame, n_subjects: int) -> DataFrame:
+    """(w): the terms that are common in one of the larger languages."""
+    part = min(0.5, COMMON / n_subjects)
     n = read.groupBy("lang").agg(F.count("*").alias("docs"))
     large = n.where((F.col("docs") >= LEAST_LANGUAGE * F.lit(float(read.count()))) & F.col("lang").isNotNull())
     terms = read.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("sents", F.lit(r"(?<= )[^ \n]+"), F.lit(0)))).alias("w"))
-    return terms.groupBy("lang", "w").agg(F.count("*").alias("df")).join(large, "lang").where(F.col("df") > COMMON * F.col("docs")).select("w").distinct()
+    return terms.groupBy("lang", "w").agg(F.count("*").alias("df")).join(large, "lang").where(F.col("df") > F.lit(part) * F.col("docs")).select("w").distinct()
 
 
 def _select(counted: DataFrame, subjects: list[str], least: float, g_min: float) -> dict[str, np.ndarray]:
@@ -153,7 +155,7 @@ def learn_lexicon(read: DataFrame, labels: DataFrame, subjects: list[str]) -> Le
     sample = labels.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     labelled = labels.join(sample, "id", "left_semi").join(read.select("id", F.array_distinct(F.regexp_extract_all("sents", F.lit(r"(?<= )[^ \n]+"), F.lit(0))).alias("ws")), "id")
     counted = labelled.select(F.explode("ws").alias("w"), F.col("subject").alias("s"), "weight").groupBy("w", "s").agg(F.sum("weight").alias("n"))
-    common = materialize(common_terms(read), "common")
+    common = materialize(common_terms(read, len(subjects)), "common")
     counts = _select(counted.join(common, "w", "left_anti"), subjects, SEED_DOCS, SEED_G)
     flat = np.full(len(subjects), 1.0 / len(subjects))
     for _ in range(ROUNDS):
