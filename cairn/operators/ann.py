@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +54,61 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def exact(vectors: DataFrame, queries: DataFrame, k: int, score=cosine_int8) -> DataFrame:  # noqa: ANN001
-    """Exact search: a stated set of queries (query_id, q) against all rows (doc_id, q), one pass over the vectors."""
-    q = queries.select("query_id", F.col("q").alias("qq"))
-    pairs = vectors.select("doc_id", "q").join(q, F.col("doc_id").isNotNull())
-    return best(pairs.select("query_id", "doc_id", F.round(score(F.col("qq"), F.col("q")), 6).alias("score")), k)
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosine of every query with every row; 0 where a vector is (nearly) zero."""
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    nq, nx = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
+    n = nq[:, None] * nx[None, :]
+    return np.divide(q @ x.T, n, out=np.zeros((len(q), len(x))), where=n >= 1e-20)
+
+
+def agreements(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Minus the number of differing bits of 64-bit signatures (one per row)."""
+    return -np.bitwise_count(q.astype(np.int64).view(np.uint64) ^ x.astype(np.int64).view(np.uint64)[:, 0][None, :]).astype(np.float64)
+
+
+def exact(vectors: DataFrame, queries: DataFrame, k: int, score: Callable = cosines, block: int = 1024) -> DataFrame:
+    """Exact search: a stated set of queries (query_id, q) against all rows (doc_id, q) of the same length.
+
+    Queries travel to the rows in blocks of bounded size; each batch of rows keeps only its best ``k`` per query before
+    anything is shuffled. Rows and queries without a vector, or with a null in it, take no part.
+    """
+    kinds = dict(vectors.dtypes)["doc_id"], dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double"
+    array = lambda c: F.array(c) if not dict(queries.dtypes)["q"].startswith("array") else F.col(c)
+    good = F.col("q").isNotNull() & (F.size("q") > 0) & F.forall("q", lambda x: x.isNotNull())
+    asked = queries.where("q IS NOT NULL").select("query_id", array("q").alias("q")).where(good)
+    rows = vectors.where("q IS NOT NULL").select("doc_id", array("q").alias("q")).where(good)
+    found = None
+    for part in _blocks(asked, block):
+        m, ids = np.stack(part["q"].to_numpy()), part["query_id"].to_numpy()
+
+        def search(batches: Iterator[pd.DataFrame], m: np.ndarray = m, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf[pdf["q"].map(len) == m.shape[1]]
+                for at in range(0, len(pdf), 2048):
+                    x = pdf.iloc[at : at + 2048]
+                    s = np.round(score(m, np.stack(x["q"].to_numpy())), 6) + 0.0
+                    doc = x["doc_id"].to_numpy()
+                    order = np.argsort(doc, kind="stable")
+                    top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "doc_id": doc[top].ravel(), "score": np.take_along_axis(s, top, axis=1).ravel()})
+
+        one = rows.mapInPandas(search, schema)
+        found = one if found is None else found.unionByName(one)
+    return best(found if found is not None else vectors.sparkSession.createDataFrame([], schema), k)
+
+
+def _blocks(asked: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """The stated queries, ``block`` at a time."""
+    held: list = []
+    for r in asked.toLocalIterator():
+        held.append((r["query_id"], r["q"]))
+        if len(held) == block:
+            yield pd.DataFrame(held, columns=["query_id", "q"])
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=["query_id", "q"])
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> DataFrame:

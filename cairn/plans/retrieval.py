@@ -113,7 +113,7 @@ def _asked(rows: DataFrame) -> DataFrame:
 
 def cosine_exact_knn(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("v").alias("q"))
-    return ann.exact(rows, _asked(rows), K, V.cosine)
+    return ann.exact(rows, _asked(rows), K)
 
 
 def _quantised(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +136,7 @@ def simhash_bucket_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def hamming_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = V.with_signatures(_quantised(spark, d), "q", V.hashed_planes(PLANES, 64)).select("doc_id", F.col("sig").alias("q"))
-    nearest = ann.exact(rows, _asked(rows), K, lambda a, b: -V.hamming(a, b).cast("double"))
+    nearest = ann.exact(rows, _asked(rows), K, ann.agreements)
     return nearest.select("query_id", "doc_id", (-F.col("score")).cast("bigint").alias("distance"), "rank")
 
 
@@ -305,10 +305,10 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def engine_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
-    log = kv.stats(table(spark, d, "kv_log")).select("puts", "deletes")
-    keys = kv.live(table(spark, d, "kv_log")).agg(F.count("*").alias("live_keys"))
-    return docs.join(log, F.lit(True)).join(keys, F.lit(True))  # three single rows
+    docs = table(spark, d, "documents").where("text IS NOT NULL").agg(F.count("*").alias("documents"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes")).first()
+    log = kv.stats(table(spark, d, "kv_log")).first()
+    row = (docs["documents"], docs["bytes"], log["puts"], log["deletes"], kv.live(table(spark, d, "kv_log")).count())
+    return spark.createDataFrame([row], "documents bigint, bytes bigint, puts bigint, deletes bigint, live_keys bigint")
 
 
 NAMES = [
