@@ -20,8 +20,10 @@ def lower_runes(c: Column) -> Column:
 
 def pre_tokens(text: Column) -> Column:
     """Array of pre-tokens: symbols as they are, words in lower case. A null text gives null."""
+    # circled capitals are the only symbols with a lower case; texts without them are lowered as a whole
     found = F.regexp_extract_all(text, F.lit(PRE), F.lit(0))
-    return F.transform(found, lambda t: F.when(t.rlike(r"^[\p{P}\p{S}]"), t).otherwise(lower_runes(t)))
+    each = F.transform(found, lambda t: F.when(t.rlike(r"^[\p{P}\p{S}]"), t).otherwise(lower_runes(t)))
+    return F.when(text.rlike("[Ⓐ-Ⓩ]"), each).otherwise(F.regexp_extract_all(lower_runes(text), F.lit(PRE), F.lit(0)))
 
 
 def symbols(word: Column) -> Column:

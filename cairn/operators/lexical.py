@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import pre_tokens
-from cairn.session import materialize
+from cairn.session import materialize, spread
 
 K1, B = 1.5, 0.75
 
 
 def tokenized(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tokens) of the documents with a text."""
-    return documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), pre_tokens(F.col(text_col)).alias("tokens"))
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return spread(texts).select("doc_id", pre_tokens(F.col("text")).alias("tokens"))
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import bag_words, sentences
+from cairn.session import spread
 
 TOP, BUDGET, DAMPING, MAX_STEPS, TOLERANCE = 3, 500, 0.85, 50, 1e-6
 
@@ -65,7 +66,8 @@ def snippets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     to the documents to show, after any limit.
     """
     parts = sentences(F.col(text_col))
-    rows = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), parts.alias("parts"))
+    texts = spread(documents.where(F.col(text_col).isNotNull()).select(id_col, text_col))
+    rows = texts.select(F.col(id_col).alias("doc_id"), parts.alias("parts"))
     rows = rows.select("doc_id", "parts", F.transform("parts", lambda s: F.array_join(bag_words(s), " ")).alias("bags"))
     kind = dict(rows.dtypes)["doc_id"]
 

@@ -60,6 +60,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"cairn-{label}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:
+    """``df`` over all cores if the optimiser takes it for smaller than ``below`` bytes; unchanged otherwise.
+
+    A file of a few megabytes is one task, however much work its rows are; larger inputs come in enough tasks by themselves
+    and are never shuffled for this.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism)) if size < below else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, not from the lineage."""
     path = scratch_path(df.sparkSession, label)
