@@ -207,6 +207,11 @@ ORACLES = {
   UNION ALL SELECT config_id, token, 'cut' FROM x WHERE NOT rare AND max_vocab > 0 AND place > max_vocab""",
     "p4_frequencies": _POSTINGS + "SELECT token, uses, df, row_number() OVER (ORDER BY uses DESC, token) AS place FROM f",
     "p6_found": _WORDS.format(id="doc_id", text="content", table="documents_idx", k=3, t=0.6) + "SELECT a AS doc_id_a, b AS doc_id_b FROM j",
+    "p7_found": """WITH v AS (SELECT 'doc_neighbours' AS purpose, doc_id AS id, min(list_transform(q, lambda x: x::DOUBLE)) AS v FROM doc_vec
+    WHERE doc_id IS NOT NULL AND len(q) = 64 AND list_sum(list_transform(q, lambda x: abs(x::DOUBLE))) > 0 GROUP BY 2
+  UNION ALL SELECT 'token_neighbours', token, min(vec) FROM token_vec WHERE token IS NOT NULL AND len(vec) = 64 AND list_sum(list_transform(vec, lambda x: abs(x))) > 0 GROUP BY 2),
+  c AS (SELECT probe_id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM probes JOIN v a ON a.purpose = probes.purpose AND a.id = target_id JOIN v b ON b.purpose = a.purpose AND b.id <> a.id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY s DESC, neighbour) AS rn FROM c) SELECT probe_id, neighbour FROM r WHERE rn <= 5""",
     "p6_links": _WORDS.format(id="doc_id", text="text", table="documents", k=5, t=0.8) + """, m AS (SELECT id, h, min(id) OVER (PARTITION BY h) AS rep,
   count(*) OVER (PARTITION BY h) AS class_size FROM n), e AS (SELECT x.rep AS p, y.rep AS q FROM j JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep GROUP BY ALL),
   k AS (SELECT rep, count(DISTINCT o) AS n_links FROM (SELECT p AS rep, q AS o FROM e UNION ALL SELECT q, p FROM e) GROUP BY 1)
