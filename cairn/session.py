@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(name: str = "cairn", cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -37,7 +38,7 @@ def build_session(name: str = "cairn", cores: str | int = "*", shuffle_partition
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. A machine-local folder is used only by a local master without the setting."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -57,7 +58,20 @@ def _remove(path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"cairn-{label}-{uuid.uuid4().hex}")
+    """A new folder name below the shared folder; ``release`` deletes it."""
+    path = os.path.join(shared_dir(spark), f"cairn-{label}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; results that were not written or collected yet need them."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+    return len(paths)
 
 
 def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:

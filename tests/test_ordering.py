@@ -25,3 +25,17 @@ def test_join_counted(spark):
     sizes = facts.groupBy("k").count()
     got = join_counted(facts, sizes, "k", "count", 5500)
     assert got.count() == 5500 and got.where("k = 'hot' AND count <> 5000").count() == 0
+
+
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    from cairn import session
+
+    made = session.materialize(spark.range(5), "kept")
+    folder = session._WRITTEN[spark.sparkContext.applicationId][-1]
+    assert made.count() == 5 and os.path.isdir(folder)
+    before = session._WRITTEN.pop(spark.sparkContext.applicationId)
+    session._WRITTEN[spark.sparkContext.applicationId] = [folder]
+    assert session.release(spark) == 1 and not os.path.exists(folder)
+    session._WRITTEN[spark.sparkContext.applicationId] = before[:-1]
