@@ -60,7 +60,7 @@ _SCAN = re.compile(
       | ^[ \t]*(?P<eqs>={{1,6}})(?!=)(?=[^\n]*[^=\s][^\n]*(?P=eqs)[ \t]*$))
   | (?P<setext>^(?=[^\n]*\w)[ ]{{0,3}}(?![-*+>\#|=]|\d+[.)][ ])[^\n]*\n(?=(?:={{3,}}|-{{3,}})[ \t]*$))
   | (?P<rule>^(?:={{3,}}|-{{3,}})[ \t]*$)
-  | (?P<item><li\b[^<>]*> | \\item\b(?:\[[^\]\n]*\])? | ^[ \t]*(?:[-+]|\d{{1,3}}[.)])[ \t]+(?=\S) | ^[ \t]*\*+[ \t]+(?=\S) | ^[*\#]{{1,6}}[ \t]*(?=[^\s*\#]))
+  | (?P<item><li\b[^<>]*> | \\item\b(?:\[[^\]\n]*\])? | ^[ \t]*(?:[-+]|\d{{1,3}}[.)])[ \t]+(?=\S) | ^[ \t]*\*+[ \t]+(?=\S) | ^[*\#]{{1,6}}[ \t]+(?=\S))
   | (?P<tag>{_TAG})
     """,
     re.X | re.M | re.S | re.I,
@@ -156,7 +156,7 @@ def parse(text: str) -> tuple[bool, list[tuple[str, int, str, str, int]]]:
         body = re.sub(r"[ \t]+", " ", re.sub(r"[ \t]*\n[ \t]*", "\n", body)).strip()
         body = re.sub(r"\n{3,}", "\n\n", body)
         if state["kind"] == "heading":
-            body = re.sub(r"\s*[=#]+$", "", body) or body
+            body = re.sub(r"^\{(.*)\}", r"\1", re.sub(r"\s*[=#]+$", "", body) or body, flags=re.S)
         if body or state["kind"] in ("heading", "list_item"):
             blocks.append((state["kind"], state["level"], body, ">".join(path[-6:]), state["linked"]))
         state.update(kind=kind, level=level, buffer=[], linked=0)
