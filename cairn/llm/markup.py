@@ -43,6 +43,7 @@ _MATH_ENV = r"(?:equation|align|gather|multline|eqnarray|displaymath|math|flalig
 #: What begins at a place of the text, first alternative first.
 _SCAN = re.compile(
     rf"""
+    (?:^|(?=[<\\`$]))(?:  # all else begins a line
     (?P<comment><!--.*?(?:-->|\Z))
   | (?P<drop><(?P<dn>script|style|title)\b[^>]*>.*?(?:</(?P=dn)\s*>|\Z))
   | (?P<code><(?P<cn>pre|syntaxhighlight|source)\b[^>]*>.*?(?:</(?P=cn)\s*>|\Z)
@@ -62,7 +63,7 @@ _SCAN = re.compile(
   | (?P<rule>^(?:={{3,}}|-{{3,}})[ \t]*$)
   | (?P<item><li\b[^<>]*> | \\item\b(?:\[[^\]\n]*\])? | ^[ \t]*(?:[-+]|\d{{1,3}}[.)])[ \t]+(?=\S) | ^[ \t]*\*+[ \t]+(?=\S) | ^[*\#]{{1,6}}[ \t]+(?=\S))
   | (?P<tag>{_TAG})
-    """,
+    )""",
     re.X | re.M | re.S | re.I,
 )
 _INLINE = re.compile(
@@ -77,6 +78,8 @@ _INLINE = re.compile(
   | \{\\(?:bf|it|em|tt|sc|rm|sf|sl|small|large)\b[^{}\n]*\}""",
     re.X | re.M | re.I,
 )
+_ANY_TAG = re.compile(_TAG, re.I)
+_SIGN = re.compile(r"[&*_~\[{'\\|]")
 _LATEX = re.compile(r"\\(?:documentclass|begin\{|(?:sub)*section\*?\{|item\b|textbf\{|textit\{|emph\{|cite\{|ref\{|footnote\{)")
 _LATEX_COMMENT = re.compile(r"^[ \t]*%[^\n]*$", re.M)
 _WRAPPERS = {"html", "body", "head"}
@@ -91,25 +94,33 @@ def _class_of(tag: str) -> str:
 
 
 def _plain(s: str) -> str:
-    """Text of a stretch without its inline markup."""
-    s = re.sub(r"<br\s*/?>|</?(?:p|div|tr|table|ul|ol|blockquote)\b[^<>]*>", "\n", s, flags=re.I)
-    s = re.sub(_TAG, "", s, flags=re.I)
-    s = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)", r"\1", s)
-    s = re.sub(r"\[([^\]\n]+)\]\([^)\n]*\)", r"\1", s)
-    s = re.sub(r"\[\^[\w-]+\]", "", s)
-    s = re.sub(r"\[\[(?:Category|File|Image):[^\]\n]*\]\]", "", s, flags=re.I)
-    s = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]|\n]*)\]\]", r"\1", s)
-    s = re.sub(r"\{\{[^{}]*\}\}", "", s)
-    s = re.sub(r"'{2,5}", "", s)
-    s = re.sub(r"~?\\(?:ref|cite|label|footnote|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", s)
-    s = re.sub(r"\\(?:documentclass|usepackage|begin|end)(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\[[^\]\n]*\])?", "", s)
-    for _ in range(2):
-        s = re.sub(r"\{\\(?:bf|it|em|tt|sc|rm|sf|sl)\s+([^{}\n]*)\}", r"\1", s)
-        s = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", s)
-    s = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]{0,200}?)(?<=[^\s*])\1(?![\w*])", r"\2", s)
-    s = re.sub(r"(?<![\w\\])(_{1,3})(?=[^\s_])([^\n]{0,200}?)(?<=[^\s_])\1(?!\w)", r"\2", s)
-    s = re.sub(r"~~([^~\n]{1,200})~~", r"\1", s)
-    return html.unescape(s).replace("\u00a0", " ")
+    """Text of a stretch without its inline markup. Each rule runs only where its sign stands."""
+    if "<" in s:
+        s = re.sub(r"<br\s*/?>|</?(?:p|div|tr|table|ul|ol|blockquote)\b[^<>]*>", "\n", s, flags=re.I)
+        s = _ANY_TAG.sub("", s)
+    if "[" in s:
+        s = re.sub(r"!\[([^\]\n]*)\]\([^)\n]*\)", r"\1", s)
+        s = re.sub(r"\[([^\]\n]+)\]\([^)\n]*\)", r"\1", s)
+        s = re.sub(r"\[\^[\w-]+\]", "", s)
+        s = re.sub(r"\[\[(?:Category|File|Image):[^\]\n]*\]\]", "", s, flags=re.I)
+        s = re.sub(r"\[\[(?:[^\]|\n]*\|)?([^\]|\n]*)\]\]", r"\1", s)
+    if "{{" in s:
+        s = re.sub(r"\{\{[^{}]*\}\}", "", s)
+    if "''" in s:
+        s = re.sub(r"'{2,5}", "", s)
+    if "\\" in s:
+        s = re.sub(r"~?\\(?:ref|cite|label|footnote|pageref)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", s)
+        s = re.sub(r"\\(?:documentclass|usepackage|begin|end)(?:\[[^\]\n]*\])?\{[^{}\n]*\}(?:\[[^\]\n]*\])?", "", s)
+        for _ in range(2):
+            s = re.sub(r"\{\\(?:bf|it|em|tt|sc|rm|sf|sl)\s+([^{}\n]*)\}", r"\1", s)
+            s = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)\}", r"\1", s)
+    if "*" in s:
+        s = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]{0,200}?)(?<=[^\s*])\1(?![\w*])", r"\2", s)
+    if "_" in s:
+        s = re.sub(r"(?<![\w\\])(_{1,3})(?=[^\s_])([^\n]{0,200}?)(?<=[^\s_])\1(?!\w)", r"\2", s)
+    if "~~" in s:
+        s = re.sub(r"~~([^~\n]{1,200})~~", r"\1", s)
+    return (html.unescape(s) if "&" in s else s).replace("\u00a0", " ")
 
 
 def _code_text(s: str) -> str:
@@ -165,7 +176,7 @@ def parse(text: str) -> tuple[bool, list[tuple[str, int, str, str, int]]]:
         nonlocal found
         if not s:
             return
-        if not found and _INLINE.search(s):
+        if not found and _SIGN.search(s) and _INLINE.search(s):
             found = True
         if state["to_line_end"] and "\n" in s:
             head, s = s.split("\n", 1)

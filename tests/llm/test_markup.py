@@ -30,6 +30,13 @@ def test_leftovers_and_plain_text():
     assert [t[:40] for t in PLAIN if M.parse(t)[0]] == []
 
 
+def test_emphasis_at_the_beginning_of_a_line():
+    for text in ("*Where* it ends.\n**Here** it began.\n\n_The_ rest.", "#4711 and #12 are numbers.\n**bold**"):
+        found, blocks = M.parse(text)
+        assert found and {b[0] for b in blocks} == {"paragraph"}
+    assert M.parse("\\section{A b}\nc")[1][0][:3] == ("heading", 1, "A b")
+
+
 def test_long_texts_end():
     began = time.time()
     for text in ("<!-- " * 3000, "$" * 20_000, "* " * 20_000, "<p>" * 20_000, "`" * 20_000, "[[" * 10_000, "# h\n\n" * 5000, "{" * 20_000):
