@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.session import materialize
@@ -109,17 +109,16 @@ def links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 part = pdf.iloc[at : at + 512]
                 keys = _variants(_symbols(part["sh"], m * r), m, r)
                 size = part["sh"].map(len).to_numpy(dtype=np.int32)
-                yield pd.DataFrame({"v": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), m * r), "n": np.repeat(size, m * r)})
+                yield pd.DataFrame({"v": keys.ravel(), "h": np.repeat(part["h"].to_numpy(), m * r), "n": np.repeat(size, m * r)})
 
-    kind = dict(sets.dtypes)["rep"]
-    rows = materialize(sets.mapInPandas(index, f"v bigint, rep {kind}, n int"), "variants")
-    shared = rows.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
-    rows = rows.join(shared, "v", "left_semi")
-    left, right = rows.toDF("v", "a", "na"), rows.toDF("v", "b", "nb")
+    # representatives travel as 64-bit hashes; should two share one, all of them are verified below
+    rows = sets.select(F.xxhash64("rep").alias("h"), "sh").mapInPandas(index, "v bigint, h bigint, n int")
+    met = rows.repartition("v").withColumn("c", F.count("*").over(Window.partitionBy("v"))).where("c > 1").drop("c")
+    left, right = met.toDF("v", "a", "na"), met.toDF("v", "b", "nb")
     close = (F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
     pairs = left.join(right, "v").where(close).select("a", "b").distinct()
-    with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
-    both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
+    side = lambda x: sets.select(F.xxhash64("rep").alias(x), F.col("rep").alias(f"r{x}"), F.col("sh").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), "sa", "sb")
     common = F.size(F.array_intersect("sa", "sb")).cast("double")
     measured = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
     return measured.where(F.col("similarity") >= threshold)
