@@ -1,9 +1,10 @@
 """Mixing sources to target weights (problem 9): weighted fair queueing.
 
 Each source's texts are shuffled by hash and queued; a text's virtual finish time is the running number of tokens of its
-source divided by the source's target share. All queues merge in the order of finish times, and the mixture is the longest
-prefix within the token budget, so at any length it holds the sources in their shares. A source may run through its texts
-``max_repeats`` times, each time in another shuffle. Without a budget the mixture is as large as it can be with every source
+source divided by the source's target share. All queues merge in the order of finish times and are truncated at the token
+budget, so at any length the mixture holds the sources in their shares. Where a long text passes the end, the room it leaves
+goes to the next texts of its source that fit (``FILL`` times over). A source may run through its texts ``max_repeats`` times,
+each time in another shuffle. Without a budget the mixture is as large as it can be with every source
 in its share: the least of repeats times tokens over share.
 
 Source names match by their letters and digits in lower case. Shares of a mixture are brought to a sum of one over the sources
@@ -24,6 +25,9 @@ from cairn.operators.prefix import running_sums
 from cairn.session import materialize
 
 
+FILL = 2
+
+
 def source_key(source: Column) -> Column:
     key = F.lower(F.regexp_replace(source, r"[^\p{L}\p{Nd}]", ""))
     return F.when(key != "", key)
@@ -61,12 +65,23 @@ def mixture(sized: DataFrame, mix: DataFrame, budget: int | None = None) -> Data
     rounds = F.least(F.col("repeats").cast("bigint"), F.ceil(F.col("budget") * F.col("share") / F.col("have")) + 1)
     queued = sized.join(F.broadcast(plan.select("mix_id", "key", "source", "share", rounds.alias("rounds"))), "key") if _bounded(plan) else sized.join(plan.select("mix_id", "key", "source", "share", rounds.alias("rounds")), "key")
     queued = queued.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rounds").cast("int"))))
-    shuffled = F.xxhash64("mix_id", "copy", "id")
-    served = running_sums(queued, ["mix_id", "key"], ["copy", shuffled, "id"], "tokens", out="served", label="queues")
-    timed = served.withColumn("finish", F.col("served") / F.col("share"))
-    placed = running_sums(timed, ["mix_id"], ["finish", "key", "id", "copy"], "tokens", out="upto", label="mixture")
-    kept = placed.join(F.broadcast(plan.select("mix_id", "budget").distinct()) if _bounded(plan) else plan.select("mix_id", "budget").distinct(), "mix_id").where(F.col("upto") <= F.col("budget"))
-    return kept.select("mix_id", F.col("upto").alias("place"), "source", "id", "copy", "tokens")
+    queued = queued.withColumn("turn", F.xxhash64("mix_id", "copy", "id"))
+    served = running_sums(queued, ["mix_id", "key"], ["copy", "turn", "id"], "tokens", out="served", label="queues")
+    ends = plan.select("mix_id", "key", (F.col("share") * F.col("budget")).alias("end"))
+    small = _bounded(plan)
+    with_ends = served.join(F.broadcast(ends) if small else ends, ["mix_id", "key"])
+    timed = materialize(with_ends.withColumn("finish", F.col("served") / F.col("share")), "timed")
+    kept, rest = timed.where("served <= end").drop("end"), timed.where("served > end")
+    for k in range(FILL):
+        used = kept.groupBy("mix_id", "key").agg(F.sum("tokens").alias("used"))
+        room = ends.join(used, ["mix_id", "key"], "left").select("mix_id", "key", (F.col("end") - F.coalesce("used", F.lit(0))).alias("room"))
+        fit = rest.join(F.broadcast(room) if small else room, ["mix_id", "key"]).where("tokens <= room")
+        filled = running_sums(fit, ["mix_id", "key"], ["copy", "turn", "id"], "tokens", out="filled", label="room").where("filled <= room")
+        filled = filled.withColumn("finish", F.col("end") / F.col("share") + k + F.col("filled") / (F.col("room") + 1.0))
+        kept = materialize(kept.unionByName(filled.select(*kept.columns)), "kept")
+        rest = rest.join(kept.select("mix_id", "key", "id", "copy"), ["mix_id", "key", "id", "copy"], "left_anti")
+    placed = running_sums(kept, ["mix_id"], ["finish", "key", "id", "copy"], "tokens", out="place", label="mixture")
+    return placed.select("mix_id", "place", "source", "id", "copy", "tokens")
 
 
 def _bounded(plan: DataFrame, rows: int = 10_000) -> bool:
