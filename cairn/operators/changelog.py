@@ -53,7 +53,7 @@ def newest(changed: DataFrame, *keys: str) -> DataFrame:
 
 
 class ChangeStore:
-    """Runs of one table below ``path``; ``MANIFEST.json`` names the live ones and is replaced after each change."""
+    """Runs of one table below ``path``; the newest ``MANIFEST-n.json`` names the live ones."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = 8, with_value: bool = True):
         self.spark, self.path, self.fanout, self.with_value = spark, path, fanout, with_value
@@ -63,23 +63,31 @@ class ChangeStore:
         self._fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
         self._path = jvm.org.apache.hadoop.fs.Path
 
+    def _manifests(self) -> list[str]:
+        found = self._fs.globStatus(self._path(os.path.join(self.path, "MANIFEST-*.json"))) or []
+        return sorted(str(f.getPath().getName()) for f in found)
+
     def _manifest(self) -> dict:
-        at = self._path(os.path.join(self.path, "MANIFEST.json"))
-        if not self._fs.exists(at):
-            return {"next": 0, "runs": []}
-        stream = self._fs.open(at)
+        names = self._manifests()
+        if not names:
+            return {"version": 0, "next": 0, "runs": []}
+        stream = self._fs.open(self._path(os.path.join(self.path, names[-1])))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def _save(self, manifest: dict) -> None:
-        new, at = (self._path(os.path.join(self.path, n)) for n in ("MANIFEST.tmp", "MANIFEST.json"))
+        """A new version appears by a rename; the one before stays until it has, so a crash leaves the old state or the new."""
+        manifest["version"] += 1
+        new, at = (self._path(os.path.join(self.path, n)) for n in ("_manifest.tmp", f"MANIFEST-{manifest['version']:012d}.json"))
         stream = self._fs.create(new, True)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        self._fs.delete(at, False)
-        self._fs.rename(new, at)
+        if not self._fs.rename(new, at):
+            raise RuntimeError(f"another writer has changed {self.path}")
+        for name in self._manifests()[:-1]:
+            self._fs.delete(self._path(os.path.join(self.path, name)), False)
 
     @property
     def runs(self) -> list[str]:
@@ -115,7 +123,7 @@ class ChangeStore:
         name = f"run={manifest['next']}"
         rows.sortWithinPartitions("key").write.parquet(os.path.join(self.path, name))
         old = manifest["runs"]
-        manifest = {"next": manifest["next"] + 1, "runs": [name] if drop_old else [*old, name]}
+        manifest |= {"next": manifest["next"] + 1, "runs": [name] if drop_old else [*old, name]}
         self._save(manifest)
         if drop_old:
             for r in old:
