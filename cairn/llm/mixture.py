@@ -37,14 +37,15 @@ def targets(mix: DataFrame) -> DataFrame:
     """(mix_id, key, source, wanted, repeats): one row per mixture and source."""
     rows = mix.where("mix_id IS NOT NULL").select("mix_id", source_key(F.col("source")).alias("key"), "source", "target_share", "max_repeats").where("key IS NOT NULL").distinct()
     good = F.when((F.col("target_share") > 0) & ~F.isnan("target_share"), F.col("target_share"))
-    return rows.groupBy("mix_id", "key").agg(F.min("source").alias("source"), F.sum(good).alias("wanted"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
+    return rows.groupBy("mix_id", "key").agg(F.min("source").alias("source"), F.sum(good.cast("decimal(28,12)")).cast("double").alias("wanted"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
 
 
 def shares(sized: DataFrame, mix: DataFrame, budget: int | None = None) -> DataFrame:
     """(mix_id, key, source, share, repeats, have, budget): shares of the sources that take part, and the token budget."""
     have = sized.groupBy("key").agg(F.sum("tokens").alias("have"))
     rows = targets(mix).join(have, "key").where((F.col("wanted") > 0) & (F.col("repeats") >= 1))
-    total = rows.groupBy("mix_id").agg(F.sum("wanted").alias("__all"))
+    # exact sums: the same shares, to the last bit, whatever the order of the rows
+    total = rows.groupBy("mix_id").agg(F.sum(F.col("wanted").cast("decimal(28,12)")).cast("double").alias("__all"))
     rows = rows.join(total, "mix_id").withColumn("share", F.col("wanted") / F.col("__all"))
     most = rows.groupBy("mix_id").agg(F.min(F.floor(F.col("repeats") * F.col("have") / F.col("share"))).alias("budget"))
     if budget is not None:
