@@ -205,8 +205,16 @@ def _lexical(sents: str, lex: Lexicon) -> list[tuple[int, int, list[int]]]:
     return out
 
 
-def _majority(counts: np.ndarray) -> int:
-    return int(counts.argmax()) if counts.sum() > 0 and counts.max() * 2 > counts.sum() else -1
+def _majority(counts: list[int], among: range | list[int], less: int = -1) -> int:
+    """The subject of ``among`` that holds more than half of their counts, one taken from subject ``less``; or -1."""
+    best, top, total = -1, 0, 0
+    for s in sorted(among):
+        n = counts[s] - (s == less)
+        if n > 0:
+            total += n
+            if n > top:
+                best, top = s, n
+    return best if top * 2 > total else -1
 
 
 def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, k: int, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -273,34 +281,25 @@ class SubjectModel:
             for pdf in batches:
                 rows = []
                 for doc, votes, own, at, src in zip(pdf["id"], pdf["votes"], pdf["own"], pdf["address_votes"], pdf["source_votes"]):
-                    own = np.asarray(own, dtype=np.int64)
-                    votes = [(int(p), int(v), [int(x) for x in a.split(",")]) for p, v, a in (x.split(" ") for x in votes.split("\n"))]
-                    place = []
+                    own, place = own.tolist(), []
                     for other in (at, src):
-                        c = -own.copy()
+                        c = [-n for n in own]
                         for s, n in dict(other).items() if other is not None else ():
                             c[s] += n
-                        place.append(_majority(np.maximum(c, 0)))
-                    by_par: dict[int, np.ndarray] = {}
-                    for par, z, _ in votes:
+                        place.append(_majority(c, range(k)))
+                    parts = [(int(p), int(z), able) for p, z, able in (x.split(" ") for x in votes.split("\n"))]
+                    by_par: dict[int, list[int]] = {}
+                    for par, z, _ in parts:
                         if z >= 0:
-                            by_par.setdefault(par, np.zeros(k, dtype=np.int64))[z] += 1
-                    for par, z, able in votes:
-                        section = -1
-                        for c in (by_par.get(par, np.zeros(k, dtype=np.int64)).copy(), own.copy()):
-                            if z >= 0:
-                                c[z] -= 1
-                            else:  # only the subjects its own terms allow
-                                mask = np.zeros(k, dtype=bool)
-                                mask[able] = True
-                                c[~mask] = 0
-                            section = _majority(np.maximum(c, 0))
-                            if section >= 0:
-                                break
-                        rows.append((doc, z, section, place[0], place[1], able))
+                            by_par.setdefault(par, [0] * k)[z] += 1
+                    for par, z, able in parts:
+                        # an undecided sentence is open to the subjects of its own terms only
+                        may = range(k) if z >= 0 else [int(x) for x in able.split(",")]
+                        section = _majority(by_par[par], may, z) if par in by_par else -1
+                        rows.append((doc, z, section if section >= 0 else _majority(own, may, z), place[0], place[1], able))
                 yield pd.DataFrame(rows, columns=["id", *FUNCTIONS, "able"])
 
-        return joined.select("id", "votes", "own", "address_votes", "source_votes").mapInPandas(vote, f"id {self.kind}, " + ", ".join(f"{f} int" for f in FUNCTIONS) + ", able array<int>")
+        return joined.select("id", "votes", "own", "address_votes", "source_votes").mapInPandas(vote, f"id {self.kind}, " + ", ".join(f"{f} int" for f in FUNCTIONS) + ", able string")
 
     def _fit(self) -> tuple[np.ndarray, np.ndarray]:
         k = max(1, len(self.subjects))
@@ -318,9 +317,9 @@ class SubjectModel:
                 if not len(pdf):
                     continue
                 post = posterior(pdf[list(FUNCTIONS)].to_numpy(), acc, prior)
-                mask = np.zeros(post.shape, dtype=bool)
-                mask[np.repeat(np.arange(len(pdf)), pdf["able"].map(len)), np.concatenate(pdf["able"].to_numpy())] = True
-                post[~mask] = 0
+                for able, at in pdf.groupby("able").indices.items():  # few different sets of subjects
+                    closed = np.setdiff1d(np.arange(len(prior)), [int(x) for x in able.split(",")])
+                    post[np.ix_(at, closed)] = 0
                 best = post.argmax(axis=1)
                 yield pd.DataFrame({"id": pdf["id"], "s": best.astype(np.int32), "p": post[np.arange(len(post)), best] / post.sum(axis=1)})
 
