@@ -3,7 +3,8 @@
 ``ChangeStore`` keeps a table as immutable runs. ``append`` turns a slice of the feed into one run that is sorted by key and
 holds, per key, only the newest change of that slice (a tombstone if that is a delete). ``read`` merges all runs by key -
 the newest change of any run wins, tombstones hide the key. ``compact`` rewrites the runs as one, and ``append`` calls it
-whenever more than ``fanout`` runs have gathered. A change is newer if its time is later, or at equal times its sequence
+whenever more than ``fanout`` runs have gathered; tombstones stay, for a put older than the delete may still come late or
+again. Only the caller can know from which time on changes may still come, and drop those before it. A change is newer if its time is later, or at equal times its sequence
 number is higher, so late, repeated and out-of-order arrivals end in the same state whatever slice they come in.
 
 Defined results: rows whose operation is neither put (1) nor delete (2), or null, change nothing; neither do rows without
@@ -147,9 +148,13 @@ class ChangeStore:
     def scan(self, prefix: str) -> DataFrame:
         return self.read().where(F.col("key").startswith(prefix)).orderBy("key")
 
-    def compact(self) -> None:
-        """All runs become one. Nothing is older than the oldest run, so tombstones can go as well."""
-        self._write(self.merged().where(F.col("op") == PUT), drop_old=True)
+    def compact(self, low_water: int | None = None) -> None:
+        """All runs become one. Tombstones stay but for those before ``low_water`` (ns): the caller's word that no change of
+        an earlier time comes any more, neither late nor again."""
+        rows = self.merged()
+        if low_water is not None:
+            rows = rows.where((F.col("op") == PUT) | (F.col("ts") >= F.lit(low_water)))
+        self._write(rows, drop_old=True)
 
 
 def apply_changes(log: DataFrame, slices: int = 4, with_value: bool = False) -> DataFrame:

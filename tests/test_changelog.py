@@ -61,6 +61,23 @@ def test_runs_in_any_order_and_compaction(spark, tmp_path):
     assert store.get(some).count() == 1 and store.scan("k").count() == sum(k.startswith("k") for k in want)
 
 
+def test_late_and_repeated_puts_after_compaction(spark, tmp_path):
+    t = 1_704_000_000_000_000_000
+    store = C.ChangeStore(spark, str(tmp_path / "t"), fanout=1)
+    puts = [(1, 1, t, "a", b"1"), (2, 1, t, "live", b"2")]
+    store.append(feed(spark, puts))
+    store.append(feed(spark, [(3, 2, t + 5, "a", None), (4, 2, t + 5, "b", None)]))
+    assert len(store.runs) == 1  # compacted
+    store.append(feed(spark, puts))  # again
+    store.append(feed(spark, [(5, 1, t + 4, "b", b"3")]))  # late
+    assert {r["key"] for r in store.read().collect()} == {"live"}
+    store.append(feed(spark, [(6, 1, t + 6, "b", b"4")]))
+    store.compact(low_water=t + 5)
+    assert {r["key"] for r in store.merged().collect()} == {"a", "b", "live"}  # a delete at the mark itself stays
+    store.compact(low_water=t + 6)
+    assert {(r["key"], r["ts"]) for r in store.merged().collect()} == {("b", t + 6), ("live", t)}
+
+
 def test_edges(spark, tmp_path):
     assert C.apply_changes(feed(spark, [])).count() == 0
     t = 1_704_000_000
