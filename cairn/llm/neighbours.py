@@ -2,8 +2,10 @@
 
 Training (driver, bounded): k-means on at most ``SAMPLE_PER_LIST`` vectors per coarse list gives the centroids, k-means per
 sub-space on at most ``PQ_SAMPLE`` of their residuals the codebooks. Indexing (every row): nearest centroid and residual
-codes. Search: each query probes its ``nprobe`` nearest lists; within a list, codes are scored from the query's asymmetric
-distance tables, and the best ``rerank`` are scored exactly by their cosine in double precision.
+codes. Search: each query probes its nearest lists; within a list, codes are scored from the query's asymmetric distance
+tables, and the best ``rerank`` are scored exactly by their cosine in double precision. How many lists are probed is measured,
+not fixed: the fewest that hold a share ``FOUND`` of the exact neighbours of ``TRIALS`` vectors of the table, which are
+compared with all its vectors. Vectors without clusters so get nearly all lists, clustered ones few, at any size.
 
 The sample is the bound of the training alone; all vectors are indexed, and all are searched. Lists are cut into blocks of
 about ``BLOCK`` rows and the queries of a list into blocks too, so neither a list that holds a third of all vectors nor one
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from cairn.session import materialize
 
 SAMPLE_PER_LIST, PQ_SAMPLE, MAX_LISTS, BLOCK, QUERY_BLOCK = 48, 8192, 1024, 8192, 1024
+TRIALS, FOUND = 512, 0.999
 
 
 @dataclass
@@ -97,8 +100,10 @@ class VectorIndex:
         self.nlists = min(nlists or max(1, int(round(self.n**0.5))), MAX_LISTS, self.n)
         size = min(self.n, SAMPLE_PER_LIST * self.nlists)
         # a bounded sample for training, chosen by hash of the id: at most MAX_LISTS * SAMPLE_PER_LIST vectors
-        picked = self.vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("vec").toPandas()
+        picked = self.vectors.orderBy(F.xxhash64("id"), "id").limit(size).toPandas()
         self.model = train(_unit(picked["vec"], dims), self.nlists)
+        self.trials = picked[:TRIALS]
+        self._probes: dict[int, int] = {}
         model = self.model
 
         def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,12 +118,47 @@ class VectorIndex:
         n_blocks = F.element_at(F.array(*map(F.lit, self.blocks)), F.col("list") + 1)
         self.rows = coded.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
 
-    def search(self, queries: DataFrame, k: int = 5, nprobe: int = 16, rerank: int = 48) -> DataFrame:
-        """(id, neighbour, similarity): the ``k`` best of all indexed vectors for each row (id, vec) of ``queries``."""
+    def probes_for(self, k: int = 5) -> int:
+        """The fewest nearest lists that hold ``FOUND`` of the exact ``k`` neighbours of the trial vectors. Each task keeps the
+        ``k`` best of its batch for every trial, so TRIALS * k rows a batch are shuffled."""
+        if k in self._probes:
+            return self._probes[k]
+        model, dims, at = self.model, self.dims, {x: t for t, x in enumerate(self.trials["id"])}
+        q = _unit(self.trials["vec"], dims)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                cos = q @ _unit(pdf["vec"], dims).T
+                own = [(at[x], i) for i, x in enumerate(pdf["id"]) if x in at]
+                if own:
+                    cos[tuple(np.array(own).T)] = -np.inf
+                take = min(k, len(pdf))
+                top = np.argpartition(-cos, take - 1, axis=1)[:, :take]
+                out = pd.DataFrame({"trial": np.repeat(np.arange(len(q)), take), "list": pdf["list"].to_numpy()[top].ravel(), "cos": np.take_along_axis(cos, top, axis=1).ravel()})
+                yield out[np.isfinite(out["cos"])]
+
+        near = self.rows.select("id", "vec", "list").mapInPandas(best, "trial int, list int, cos double")
+        first = Window.partitionBy("trial").orderBy(F.desc("cos"), "list")
+        held = near.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k).select("trial", "list").toPandas()  # at most TRIALS * k rows
+        # the place of every list in each trial's order, counted over the lists that hold vectors as in the search
+        lists_of = np.flatnonzero(self.blocks)
+        place = np.full((len(q), len(self.blocks)), len(lists_of))
+        order = np.argsort(-(q.astype(np.float32) @ model.centroids[lists_of].T), axis=1)
+        np.put_along_axis(place, lists_of[order], np.arange(len(lists_of))[None, :].repeat(len(q), 0), axis=1)
+        places = np.sort(place[held["trial"].to_numpy(), held["list"].to_numpy()])
+        self._probes[k] = int(places[max(0, int(np.ceil(FOUND * len(places))) - 1)]) + 1 if len(places) else 1
+        return self._probes[k]
+
+    def search(self, queries: DataFrame, k: int = 5, nprobe: int | None = None, rerank: int = 48) -> DataFrame:
+        """(id, neighbour, similarity): the ``k`` best of all indexed vectors for each row (id, vec) of ``queries``, from the
+        ``nprobe`` nearest lists of each (None: as many as ``probes_for`` measures)."""
         spark = queries.sparkSession
         out = f"id {self.kind}, neighbour {self.kind}, similarity double"
         if self.rows is None:
             return spark.createDataFrame([], out)
+        nprobe = nprobe or self.probes_for(k)
         model, dims, blocks, sizes = self.model, self.dims, np.array(self.blocks), self.sizes
         lists_of = np.flatnonzero(blocks)
 

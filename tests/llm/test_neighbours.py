@@ -81,6 +81,21 @@ def test_recall(spark):
     assert hit / 15000 >= 0.97
 
 
+def test_recall_without_clusters(spark):
+    x = np.random.default_rng(4).standard_normal((1500, 64))
+    df = spark.createDataFrame([(f"t{i}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<double>")
+    index = neighbours.VectorIndex(df, "id", "vec")
+    got = {}
+    for r in index.neighbours_of_all().collect():
+        got.setdefault(int(r["id"][1:]), set()).add(int(r["neighbour"][1:]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    np.fill_diagonal(cos, -9)
+    want = np.argsort(-cos, axis=1)[:, :5]
+    assert sum(len(got[i] & set(w.tolist())) for i, w in enumerate(want)) / want.size >= 0.99
+    assert index.probes_for(5) <= index.nlists
+
+
 def test_hot_list_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 50)
