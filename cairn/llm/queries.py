@@ -97,9 +97,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest other vectors of every document vector."""
-    near = neighbours.VectorIndex(table(spark, d, "doc_vec"), "doc_id", "q").neighbours_of_all()
-    return near.select(F.col("id").alias("doc_id"), "neighbour", F.round("similarity", 6).alias("similarity"))
+    """The five nearest other vectors of every document and token vector, in its own table (``vectors``)."""
+    near = []
+    for name, key, vec in (("doc_vec", "doc_id", "q"), ("token_vec", "token", "vec")):
+        of_all = neighbours.VectorIndex(table(spark, d, name), key, vec).neighbours_of_all()
+        near.append(of_all.select(F.lit(name).alias("vectors"), "id", "neighbour", F.round("similarity", 6).alias("similarity")))
+    return near[0].unionByName(near[1])
 
 
 def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from cairn.llm import neardup, neighbours
+from cairn.llm import neardup, neighbours, queries
 
 
 def sets_of(text, k):
@@ -115,6 +115,16 @@ def test_hot_list_is_cut_into_blocks(spark, monkeypatch):
     assert hit / (3 * len(x)) > 0.97
 
 
+def test_neighbours_of_both_tables(spark, tmp_path):
+    x = [[float(v) for v in row] for row in np.random.default_rng(6).integers(-9, 9, (20, 64))]
+    spark.createDataFrame([(f"d{i}", [int(v) for v in row]) for i, row in enumerate(x)], "doc_id string, q array<tinyint>").write.parquet(str(tmp_path / "doc_vec.parquet"))
+    spark.createDataFrame([(f"t{i}", row) for i, row in enumerate(x)], "token string, vec array<double>").write.parquet(str(tmp_path / "token_vec.parquet"))
+    got = queries.p7_neighbours(spark, str(tmp_path)).collect()
+    for name, letter in (("doc_vec", "d"), ("token_vec", "t")):
+        own = [r for r in got if r["vectors"] == name]
+        assert len(own) == 100 and {r["id"] for r in own} == {f"{letter}{i}" for i in range(20)} and all(r["neighbour"][0] == letter for r in own)
+
+
 def test_vector_edges(spark):
     rows = [("a", [1, 0]), ("b", [2, 0]), ("c", [0, 5]), ("a", [1, 0]), ("zero", [0, 0]), ("short", [1]), ("null", None), ("part", [None, 1]), (None, [1, 1]), ("empty", [])]
     df = spark.createDataFrame(rows, "k string, q array<tinyint>").selectExpr("*", "1 AS id", "2 AS list", "3 AS vec")
