@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +14,8 @@ from cairn.session import materialize
 
 #: Weights are sums of 1 / distance; kept as whole multiples of 1 / 60 they are exact for distances up to 5.
 UNIT = 60
+#: A matrix of more entries than this is multiplied in its files, by the tasks.
+ON_DRIVER = 500_000
 
 
 @dataclass
@@ -70,38 +72,35 @@ def ppmi(cooc: DataFrame) -> DataFrame:
     return cooc.join(left, "w1").join(right, "w2").select(F.col("w1").alias("i"), F.col("w2").alias("j"), v.alias("v")).where("v > 0")
 
 
-def truncated_svd(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, k: int, steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> np.ndarray:
-    """Right singular vectors (n x k, unscaled, by falling singular value) of a sparse matrix by block power iteration.
-
-    The numerical rank limits k. Signs are fixed: the component of largest size of each vector is positive.
-    """
-    order = np.lexsort((j, i))
-    i, j, v = i[order], j[order], v[order]
-    rows, start = np.unique(i, return_index=True)
-    back = np.lexsort((i, j))
-    cols, cstart = np.unique(j[back], return_index=True)
-
-    def times(x: np.ndarray, r: np.ndarray, s: np.ndarray, other: np.ndarray, val: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, x.shape[1]))
-        ends = np.append(s[1:], len(other))
-        at = 0
-        while at < len(r):  # bounded memory: about four million products at a time
-            to = max(at + 1, int(np.searchsorted(ends, s[at] + max(1, 4_000_000 // x.shape[1]), side="right")))
-            block = val[s[at] : ends[to - 1], None] * x[other[s[at] : ends[to - 1]]]
-            out[r[at:to]] = np.add.reduceat(block, s[at:to] - s[at], axis=0)
-            at = to
-        return out
-
+def _times(r: np.ndarray, c: np.ndarray, v: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a sparse matrix that have entries, in order, and their products with ``x``. Entries are sorted by row."""
+    rows, start = np.unique(r, return_index=True)
+    ends, n = np.append(start[1:], len(r)), len(x)
+    out = np.empty((len(rows), x.shape[1]))
+    at = 0
+    while at < len(rows):  # bounded memory: about four million products at a time
+        to = max(at + 1, int(np.searchsorted(ends, start[at] + max(1, 4_000_000 // x.shape[1]), side="right")))
+        own, count = slice(start[at], ends[to - 1]), ends[to - 1] - start[at]
+        if count * 30 >= (to - at) * n:  # well filled rows are faster as a dense block
+            cell = np.repeat(np.arange(to - at), ends[at:to] - start[at:to]) * n + c[own]
+            out[at:to] = np.bincount(cell, v[own], (to - at) * n).reshape(to - at, n) @ x
+        else:
+            out[at:to] = np.add.reduceat(v[own, None] * x[c[own]], start[at:to] - start[at], axis=0)
+        at = to
+    return rows, out
+
+
+def _power(times: Callable, back: Callable, n: int, k: int, steps: int, tolerance: float, seed: int) -> np.ndarray:
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, k + 8))))[0]
     past = None
     for _ in range(steps):
-        y = times(times(q, rows, start, j, v), cols, cstart, i[back], v[back])
+        y = back(times(q))
         q, r = np.linalg.qr(y)
         values = np.sqrt(np.abs(np.diag(r)))
         if past is not None and np.abs(values - past).max() <= tolerance * max(values.max(), 1e-12):
             break
         past = values
-    small = times(q, rows, start, j, v)
+    small = times(q)
     _, s, vt = np.linalg.svd(small, full_matrices=False)
     basis = q @ vt.T
     keep = min(k, int((s > 1e-10 * max(s.max(initial=0), 1e-300)).sum()))
@@ -109,18 +108,71 @@ def truncated_svd(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, k: int, s
     return basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(keep)] < 0, -1, 1) if keep else basis
 
 
+def truncated_svd(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, k: int, steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> np.ndarray:
+    """Right singular vectors (n x k, unscaled, by falling singular value) of a sparse matrix by block power iteration.
+
+    The numerical rank limits k. Signs are fixed: the component of largest size of each vector is positive.
+    """
+
+    def side(r: np.ndarray, c: np.ndarray) -> Callable:
+        order = np.lexsort((c, r))
+        r, c, w = r[order], c[order], v[order]
+
+        def times(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, x.shape[1]))
+            rows, y = _times(r, c, w, x)
+            out[rows] = y
+            return out
+
+        return times
+
+    return _power(side(i, j), side(j, i), n, k, steps, tolerance, seed)
+
+
+def symmetric_svd(entries: DataFrame, n: int, k: int, steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> np.ndarray:
+    """``truncated_svd`` of a symmetric matrix (i, j, v) that stays in its files: each product with the basis (n x k, on the
+    driver) is a job over the entries."""
+    spark = entries.sparkSession
+    stored = materialize(entries.repartition("i").sortWithinPartitions("i", "j"), "matrix")
+
+    def times(x: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(x)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    if not pdf["i"].is_monotonic_increasing:  # the end of one file and the start of another
+                        pdf = pdf.sort_values("i", kind="stable")
+                    rows, y = _times(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy(), shared.value)
+                    yield pd.DataFrame({"i": rows, "y": [p.tobytes() for p in y]})
+
+        got = stored.mapInPandas(run, "i int, y binary").toPandas()  # a row of the product may come in parts
+        out = np.zeros((n, x.shape[1]))
+        np.add.at(out, got["i"].to_numpy(), np.frombuffer(b"".join(got["y"])).reshape(-1, x.shape[1]))
+        shared.destroy()
+        return out
+
+    return _power(times, times, n, k, steps, tolerance, seed)
+
+
 def token_vectors(tokens: DataFrame, config: Config | None = None) -> DataFrame:
-    """(token, vec). The matrix goes to the driver: its size is bounded by ``max_vocab``, which must be set."""
+    """(token, vec) of the ``max_vocab`` most used tokens (0: all). The matrix goes to the driver if it has at most
+    ``ON_DRIVER`` entries and stays in its files otherwise; the vectors themselves are a model of bounded size."""
     config = config or Config()
-    if config.max_vocab <= 0:
-        raise ValueError("token vectors need a bound on the vocabulary")
     spark = tokens.sparkSession
     vocab = materialize(vocabulary(tokens, config.min_frequency, config.max_vocab), "vocabulary")
-    entries = ppmi(materialize(cooccurrence(tokens, vocab, config.window), "cooccurrence")).toPandas()
-    words = [r["token"] for r in vocab.orderBy("i").collect()]
-    if not words or not len(entries):
+    if not bounded(vocab):
+        raise ValueError("more token vectors than a model may have")
+    entries = materialize(ppmi(materialize(cooccurrence(tokens, vocab, config.window), "cooccurrence")), "ppmi")
+    words, size = [r["token"] for r in vocab.orderBy("i").collect()], entries.count()
+    if not words or not size:
         return spark.createDataFrame([], "token string, vec array<double>")
-    basis = truncated_svd(entries["i"].to_numpy(), entries["j"].to_numpy(), entries["v"].to_numpy(), len(words), min(config.dimensions, len(words)), config.max_iterations, config.tolerance)
+    how = (len(words), min(config.dimensions, len(words)), config.max_iterations, config.tolerance)
+    if size <= ON_DRIVER:
+        m = entries.toPandas()
+        basis = truncated_svd(m["i"].to_numpy(), m["j"].to_numpy(), m["v"].to_numpy(), *how)
+    else:
+        basis = symmetric_svd(entries, *how)
     return spark.createDataFrame(pd.DataFrame({"token": words, "vec": basis.tolist()}), "token string, vec array<double>")
 
 

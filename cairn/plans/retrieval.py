@@ -176,38 +176,54 @@ def mlp_train_sgd(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
-def _cooccurring(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _cooccurring(spark: SparkSession, d: str, max_vocab: int = 0) -> tuple[DataFrame, DataFrame]:
     tokens = materialize(_tokens(spark, d), "tokens")
-    vocab = materialize(embed.vocabulary(tokens, 2, VOCAB), "vocabulary")
+    vocab = materialize(embed.vocabulary(tokens, 2, max_vocab), "vocabulary")
     return vocab, materialize(embed.cooccurrence(tokens, vocab, 5), "cooccurrence")
 
 
 def _named(rows: DataFrame, vocab: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
     names = vocab.select("i", "token")
-    left, right = names.toDF(a, "token_a"), names.toDF(b, "token_b")  # VOCAB rows each
-    return rows.join(F.broadcast(left), a).join(F.broadcast(right), b).select("token_a", "token_b", *rest)
+    left, right = names.toDF(a, "token_a"), names.toDF(b, "token_b")
+    if embed.bounded(vocab):
+        left, right = F.broadcast(left), F.broadcast(right)
+    return rows.join(left, a).join(right, b).select("token_a", "token_b", *rest)
 
 
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    vocab, cooc = _cooccurring(spark, d)
+    """Over the VOCAB most used tokens, as its SQL has it; ``cooccurrence_all`` is over all."""
+    vocab, cooc = _cooccurring(spark, d, VOCAB)
     return _named(cooc, vocab, "w1", "w2", F.round("weight", 6).alias("weight"))
 
 
 def ppmi(spark: SparkSession, d: str) -> DataFrame:
+    """Over the VOCAB most used tokens, as its SQL has it; ``ppmi_all`` is over all."""
+    vocab, cooc = _cooccurring(spark, d, VOCAB)
+    return _named(embed.ppmi(cooc), vocab, "i", "j", F.round("v", 6).alias("v"))
+
+
+def cooccurrence_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over every token used at least twice."""
+    vocab, cooc = _cooccurring(spark, d)
+    return _named(cooc, vocab, "w1", "w2", F.round("weight", 6).alias("weight"))
+
+
+def ppmi_all(spark: SparkSession, d: str) -> DataFrame:
+    """Over every token used at least twice."""
     vocab, cooc = _cooccurring(spark, d)
     return _named(embed.ppmi(cooc), vocab, "i", "j", F.round("v", 6).alias("v"))
 
 
-_SMALL = embed.Config(dimensions=32, max_vocab=VOCAB)
+_WHOLE = embed.Config(max_vocab=0)
 
 
 def svd_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return embed.token_vectors(materialize(_tokens(spark, d), "tokens"), _SMALL)
+    return embed.token_vectors(materialize(_tokens(spark, d), "tokens"), _WHOLE)
 
 
 def document_embeddings(spark: SparkSession, d: str) -> DataFrame:
     tokens = materialize(_tokens(spark, d), "tokens")
-    return embed.document_vectors(tokens, embed.token_vectors(tokens, _SMALL)).select("doc_id", V.quantize(F.col("vec")).alias("q"))
+    return embed.document_vectors(tokens, embed.token_vectors(tokens, _WHOLE)).select("doc_id", V.quantize(F.col("vec")).alias("q"))
 
 
 def subword_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +316,7 @@ def kv_stats(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Build and one query over the whole collection of records."""
     docs = table(spark, d, "documents_idx").where("content IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("path", "title", "content")).alias("m"))
-    engine = Engine.build(docs.select("doc_id", "m.title", "m.path", "m.content"), _SMALL)
+    engine = Engine.build(docs.select("doc_id", "m.title", "m.path", "m.content"), _WHOLE)
     return engine.search("the orbit of a comet near the telescope", K)
 
 
@@ -315,7 +331,7 @@ NAMES = [
     pretokenize_counts, term_frequencies, doc_frequencies, doc_lengths_avgdl, bm25_topk, bm25_duplicate_query_terms, bm25_index_scores, bm25_idf_clamp,
     ingest_report, ingest_antijoin_known, ingest_dedupe_sha256, ingest_titles, quantize_int8, dequantize, l2_normalize, cosine_exact_knn, cosine_int8_knn,
     simhash_signature, simhash_bucket_histogram, hamming_topk, lsh_topk_tiered, lsh_recall_at_k, rrf_fusion, mlp_fusion_forward, mlp_training_targets, mlp_train_sgd,
-    cooccurrence, ppmi, svd_embeddings, document_embeddings, subword_encode, subword_ids, subword_decode, subword_roundtrip, subword_lowest_ids, pair_frequencies, best_pair,
+    cooccurrence, ppmi, cooccurrence_all, ppmi_all, svd_embeddings, document_embeddings, subword_encode, subword_ids, subword_decode, subword_roundtrip, subword_lowest_ids, pair_frequencies, best_pair,
     sentence_split, sentence_bow, sentence_similarity, textrank_snippets, kv_latest_wins, kv_compaction, kv_prefix_scan, kv_point_get, kv_replay, kv_stats, hybrid_search, engine_stats,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
@@ -445,3 +461,5 @@ ORACLES = {
     "engine_stats": _KV + """ SELECT (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, (SELECT sum(strlen(text))::BIGINT FROM documents) AS bytes,
   (SELECT count(*) FROM kv_log WHERE op = 1) AS puts, (SELECT count(*) FROM kv_log WHERE op = 2) AS deletes, (SELECT count(*) FROM lv) AS live_keys""",
 }
+_CAP = f" ORDER BY f DESC, token LIMIT {VOCAB}"
+ORACLES |= {f"{name}_all": ORACLES[name].replace(_CAP, "") for name in ("cooccurrence", "ppmi")}

@@ -123,6 +123,25 @@ def test_cooccurrence_and_vectors(spark):
     assert np.allclose(vec[1], [0.6, 0.8]) and vec[3] == [0, 0]
 
 
+def test_vectors_of_the_whole_vocabulary(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = [f"w{i:04}" for i in range(2100)]
+    rows = [(i, [words[int(x)] for x in rng.permutation(2100)[:1050]]) for i in range(3)] + [(9, words), (10, words[::-1])]
+    tokens = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    from cairn.plans import retrieval
+
+    config = retrieval._WHOLE
+    assert config.dimensions == 100 and embed.vocabulary(tokens, config.min_frequency, config.max_vocab).count() == 2100
+    few = embed.Config(dimensions=4, max_iterations=3, max_vocab=0)
+    driver = {r["token"]: r["vec"] for r in embed.token_vectors(tokens, few).collect()}
+    assert driver.keys() == set(words) and len(driver["w0000"]) == 4
+    monkeypatch.setattr(embed, "ON_DRIVER", 0)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # several files in one task
+    tasks = {r["token"]: r["vec"] for r in embed.token_vectors(tokens, few).collect()}
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert driver.keys() == tasks.keys() and all(np.allclose(driver[t], tasks[t], atol=1e-6) for t in driver)
+
+
 def test_svd_against_numpy():
     rng = np.random.default_rng(0)
     u, v = (np.linalg.qr(rng.standard_normal((60, 60)))[0] for _ in range(2))
