@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +18,36 @@ TOKENIZER = os.environ.get("CAIRN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json
 Merges = list[tuple[str, str]]
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of every byte in a byte-level tokenizer file: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 def read_merges(path: str = TOKENIZER) -> Merges:
-    """The rules of a tokenizer file over plain characters: those of printable ASCII, without markers for spaces."""
+    """The rules of a tokenizer file over whole characters of any script, without markers for spaces. Rules over parts of a
+    character have no place here: words start as characters."""
     with open(path, encoding="utf-8") as f:
         rules = json.load(f)["model"]["merges"]
     pairs = [tuple(r.split(" ")) if isinstance(r, str) else tuple(r) for r in rules]
-    return [(a, b) for a, b in pairs if (a + b).isascii()]
+    byte = byte_alphabet()
+
+    def text(symbol: str) -> str | None:
+        try:
+            out = bytes(byte[c] for c in symbol).decode()
+        except (KeyError, UnicodeDecodeError):
+            return None
+        return out if out.isprintable() and not any(c.isspace() for c in out) else None
+
+    read = [(text(a), text(b)) for a, b in pairs]
+    return [(a, b) for a, b in read if a and b]
+
+
+def characters(tokens: DataFrame) -> list[str]:
+    """Every character of the collection, in order; one row each, so a bounded list."""
+    each = tokens.select(F.explode("tokens").alias("w")).distinct().select(F.explode(F.split("w", "")).alias("c")).where("c <> ''").distinct()
+    return sorted(r["c"] for r in each.collect())
 
 
 def merges_table(spark: SparkSession, merges: Merges) -> DataFrame:
@@ -31,15 +55,15 @@ def merges_table(spark: SparkSession, merges: Merges) -> DataFrame:
     return spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(merges)], "rank int, left string, right string, new string")
 
 
-def vocabulary(merges: Merges) -> list[str]:
-    """Tokens by id: the characters of the rules in order, then what each rule makes."""
-    chars = sorted({c for a, b in merges for c in a + b})
+def vocabulary(merges: Merges, chars: Iterable[str] = ()) -> list[str]:
+    """Tokens by id: the characters of the rules and of the collection (``chars``) in order, then what each rule makes."""
+    chars = sorted({c for a, b in merges for c in a + b} | set(chars))
     return list(dict.fromkeys([*chars, *(a + b for a, b in merges)]))
 
 
-def vocabulary_table(spark: SparkSession, merges: Merges) -> DataFrame:
+def vocabulary_table(spark: SparkSession, merges: Merges, chars: Iterable[str] = ()) -> DataFrame:
     """(token, id)."""
-    return spark.createDataFrame([(t, i) for i, t in enumerate(vocabulary(merges))], "token string, id int")
+    return spark.createDataFrame([(t, i) for i, t in enumerate(vocabulary(merges, chars))], "token string, id int")
 
 
 def apply_merge(symbols: list[str], left: str, right: str) -> list[str]:
@@ -102,9 +126,9 @@ def encode(tokens: DataFrame, merges: Merges, remember: int = 200_000) -> DataFr
     return tokens.select("doc_id", "tokens").mapInPandas(run, f"doc_id {kind}, tokens array<string>")
 
 
-def encode_ids(encoded: DataFrame, merges: Merges) -> DataFrame:
+def encode_ids(encoded: DataFrame, merges: Merges, chars: Iterable[str] = ()) -> DataFrame:
     """(doc_id, ids): token ids; tokens out of the vocabulary fall back to their characters, unknown ones are dropped."""
-    ids = {t: i for i, t in enumerate(vocabulary(merges))}
+    ids = {t: i for i, t in enumerate(vocabulary(merges, chars))}
     kind = dict(encoded.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,10 +139,10 @@ def encode_ids(encoded: DataFrame, merges: Merges) -> DataFrame:
     return encoded.select("doc_id", "tokens").mapInPandas(run, f"doc_id {kind}, ids array<int>")
 
 
-def decode(ids: DataFrame, merges: Merges) -> DataFrame:
+def decode(ids: DataFrame, merges: Merges, chars: Iterable[str] = ()) -> DataFrame:
     """(doc_id, text): tokens joined by a space, unknown ids skipped; no space before the first position only, so a skipped
     first id leaves one."""
-    tokens = vocabulary(merges)
+    tokens = vocabulary(merges, chars)
     kind = dict(ids.dtypes)["doc_id"]
 
     def text(row: list[int]) -> str:

@@ -230,27 +230,33 @@ def subword_encode(spark: SparkSession, d: str) -> DataFrame:
     return subwords.encode(_tokens(spark, d), subwords.read_merges())
 
 
+def _subword_ids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, subwords.Merges, list[str]]:
+    """Encoded tokens, their ids, and what the vocabulary is made of."""
+    tokens, merges = materialize(_tokens(spark, d), "tokens"), subwords.read_merges()
+    encoded, chars = subwords.encode(tokens, merges), subwords.characters(tokens)
+    return encoded, subwords.encode_ids(encoded, merges, chars), merges, chars
+
+
 def subword_ids(spark: SparkSession, d: str) -> DataFrame:
-    merges = subwords.read_merges()
-    return subwords.encode_ids(subwords.encode(_tokens(spark, d), merges), merges)
+    return _subword_ids(spark, d)[1]
 
 
 def subword_decode(spark: SparkSession, d: str) -> DataFrame:
-    merges = subwords.read_merges()
-    return subwords.decode(subwords.encode_ids(subwords.encode(_tokens(spark, d), merges), merges), merges)
+    _, ids, merges, chars = _subword_ids(spark, d)
+    return subwords.decode(ids, merges, chars)
 
 
 def subword_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose encoded tokens do not spell their words: none."""
-    tokens = _tokens(spark, d)
-    encoded = subwords.encode(tokens, subwords.read_merges()).select("doc_id", F.array_join("tokens", "").alias("spelt"))
-    bad = tokens.select("doc_id", F.array_join("tokens", "").alias("wanted")).join(encoded, "doc_id").where("spelt <> wanted")
-    return bad.agg(F.count("*").alias("wrong"))
+    """Documents whose encoded tokens do not spell their words, or whose ids do not give back the tokens: none."""
+    encoded, ids, merges, chars = _subword_ids(spark, d)
+    spelt = encoded.select("doc_id", F.array_join("tokens", "").alias("spelt"), F.array_join("tokens", " ").alias("spaced"))
+    rows = _tokens(spark, d).select("doc_id", F.array_join("tokens", "").alias("wanted")).join(spelt, "doc_id").join(subwords.decode(ids, merges, chars), "doc_id")
+    return rows.where("spelt <> wanted OR text <> spaced").agg(F.count("*").alias("wrong"))
 
 
 def subword_lowest_ids(spark: SparkSession, d: str) -> DataFrame:
     """The 100 tokens of lowest id (a listing of the vocabulary, as the feature has it)."""
-    return subwords.vocabulary_table(spark, subwords.read_merges()).orderBy("id").limit(100)
+    return subwords.vocabulary_table(spark, subwords.read_merges(), subwords.characters(_tokens(spark, d))).orderBy("id").limit(100)
 
 
 def pair_frequencies(spark: SparkSession, d: str) -> DataFrame:

@@ -103,6 +103,22 @@ def test_subwords(spark):
     assert tuple(subwords.best_pair(pairs).first()) == ("a", "b", 2) and subwords.best_pair(pairs, 3).count() == 0
 
 
+def test_subwords_beyond_ascii(spark, tmp_path):
+    file = tmp_path / "t.json"  # byte-level: e acute is the bytes C3 A9, which stand as two characters
+    rules = ["a b", "\u00c3 \u00a9", "\u00c3\u00a9 t", "\u0120 a", "t \u00c3"]
+    file.write_text(json.dumps({"model": {"merges": rules}}), encoding="utf-8")
+    merges = subwords.read_merges(str(file))
+    assert merges == [("a", "b"), ("\u00e9", "t")]
+    words = ["\u00e9tab", "stra\u00dfe", "\u4e2d"]
+    tokens = spark.createDataFrame([(1, words)], "doc_id int, tokens array<string>")
+    chars, encoded = subwords.characters(tokens), subwords.encode(tokens, merges)
+    assert set(chars) == set("".join(words))
+    ids = subwords.encode_ids(encoded, merges, chars)
+    assert encoded.first()["tokens"][:2] == ["\u00e9t", "ab"]
+    assert subwords.decode(ids, merges, chars).first()["text"].split(" ") == encoded.first()["tokens"]
+    assert any(not (a + b).isascii() for a, b in subwords.read_merges())
+
+
 def test_cooccurrence_and_vectors(spark):
     texts = {1: "a b c a b".split(), 2: "a a z".split(), 3: ["q"]}
     tokens = spark.createDataFrame(list(texts.items()), "doc_id int, tokens array<string>")
