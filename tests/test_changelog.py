@@ -53,7 +53,6 @@ def test_runs_in_any_order_and_compaction(spark, tmp_path):
         store.append(feed(spark, rows[at : at + 200] + (rows[600:] if at == 0 else [])))
     assert len(store.runs) <= 2  # the third append compacted
     want = brute(rows)
-    # a compaction drops tombstones, so a change older than a dropped delete must not come later: all slices are in by now
     assert {r["key"] for r in store.read().collect()} == set(want)
     store.compact()
     assert len(store.runs) == 1 and {r["key"]: r["ts"] for r in store.read().collect()} == {k: v[0] for k, v in want.items()}
@@ -78,6 +77,47 @@ def test_late_and_repeated_puts_after_compaction(spark, tmp_path):
     assert {(r["key"], r["ts"]) for r in store.merged().collect()} == {("b", t + 6), ("live", t)}
 
 
+def test_killed_write_and_repeated_batch(spark, tmp_path):
+    t, path = 1_704_000_000_000_000_000, tmp_path / "t"
+    store = C.ChangeStore(spark, str(path))
+    first = feed(spark, [(1, 1, t, "a", b"1"), (2, 1, t, "b", b"2")])
+    store.append(first)
+    for leftover in ("runs/run=killed/part-0_00000.parquet", "_manifest-killed.tmp"):  # what a write that died leaves behind
+        (path / leftover).parent.mkdir(exist_ok=True)
+        (path / leftover).write_bytes(b"torn")
+    again = C.ChangeStore(spark, str(path))
+    again.append(first)
+    again.append(feed(spark, [(3, 2, t + 1, "a", None)]))
+    assert {r["key"] for r in again.read().collect()} == {"b"} and len(again.runs) == 3
+    assert again.vacuum() == ["_manifest-killed.tmp", "run=killed"] and {r["key"] for r in again.read().collect()} == {"b"}
+
+
+def test_reader_of_the_version_before(spark, tmp_path):
+    t, store = 1_704_000_000_000_000_000, C.ChangeStore(spark, str(tmp_path / "t"))
+    for k in range(3):
+        store.append(feed(spark, [(k, 1, t + k, f"k{k}", b"1")]))
+    opened = store.read()
+    store.compact()
+    assert opened.count() == 3 and store.read().count() == 3
+    store.append(feed(spark, [(9, 1, t + 9, "k9", b"1")]))
+    assert len(list((tmp_path / "t").glob("runs/run=*"))) == 2  # the runs before the compaction are gone
+
+
+def test_merge_on_read_without_shuffle(spark, tmp_path):
+    t, store = 1_704_000_000_000_000_000, C.ChangeStore(spark, str(tmp_path / "t"), buckets=4)
+    for k in range(3):
+        store.append(feed(spark, [(k * 100 + i, 1, t + i, f"k{i * (k + 1)}", b"1") for i in range(100)]))
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert C.ChangeStore(spark, str(tmp_path / "t"), buckets=9).buckets == 4  # as its first run has it
+
+
+def test_odd_times(spark):
+    odd = [(i, 1, ts, f"k{i}", b"1") for i, ts in enumerate((5 * 10**10, 9 * 10**13, -(2**63), 2**63 - 1, 0, -1, 9 * 10**16))]
+    got = {r["key"]: r["ts"] for r in C.apply_changes(feed(spark, odd)).collect()}
+    assert got == {"k2": -(2**63), "k3": 2**63 - 1, "k4": 0, "k5": -(10**9)}
+
+
 def test_edges(spark, tmp_path):
     assert C.apply_changes(feed(spark, [])).count() == 0
     t = 1_704_000_000
