@@ -41,14 +41,15 @@ def number_rows(df: DataFrame, order: list[Column | str], out: str = "pos", labe
     return placed.join(F.broadcast(table), "__pid").select(*df.columns, (F.col("__off") + F.col("__at")).alias(out))
 
 
-def join_counted(facts: DataFrame, sizes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(facts: DataFrame, sizes: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Inner equi-join of ``facts`` with ``sizes`` (unique ``key``; ``count`` = rows of that key in ``facts``).
 
     Keys holding more than ``total / HOT_PARTS`` rows are joined by broadcast - there are fewer than ``HOT_PARTS`` of them by
     counting - and all others by shuffle, where no key holds more than that share of the rows.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     limit = max(1, total // HOT_PARTS)
     hot = sizes.where(F.col(count) > limit)
     cold = sizes.where(F.col(count) <= limit)
-    there = F.broadcast(hot.select(key))
-    return facts.join(F.broadcast(hot), key).unionByName(facts.join(there, key, "left_anti").join(cold, key))
+    there = F.broadcast(hot.select(*keys))
+    return facts.join(F.broadcast(hot), keys).unionByName(facts.join(there, keys, "left_anti").join(cold, keys))
