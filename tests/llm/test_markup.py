@@ -1,5 +1,6 @@
 """Markup: hand-made pages of each kind, pages that only look like markup, and the vote."""
 
+import re
 import time
 
 import pytest
@@ -56,7 +57,7 @@ def test_structure_and_text(spark):
         assert sorted(got[k]) == sorted([("markup", 0), *((kind, i + 1) for kind, n in want.items() for i in range(n))])
     text = {r["id"]: r["text"] for r in M.clean_text(out).collect()}
     assert text["plain"] == "just text" and "null" not in text
-    assert text["markdown"].startswith("# A") and "text em and # no" in text["markdown"] and "- z" in text["markdown"] and "```\n# no" in text["markdown"] and "$x^2$" in text["markdown"]
+    assert text["markdown"].startswith("# A") and "text em and # no" in text["markdown"] and "1. z" in text["markdown"] and "```\n# no" in text["markdown"] and "$x^2$" in text["markdown"]
     assert "<" not in text["html"] and "a b & c" in text["html"] and "# One" in text["html"]
     assert M.structure(M.extract(df.where("false"))).count() == 0
 
@@ -69,3 +70,53 @@ def test_vote_drops_link_containers(spark):
     assert won["host", "div.nav"] is False and won["host", "div.text"] is True
     text = {r["id"]: r["text"] for r in M.clean_text(M.extract(df)).collect()}
     assert "link" not in text[1] and "Title 1" in text[1] and "only links" in text[9]
+
+
+def test_no_length_is_too_long():
+    long = "x " * 5000
+    for text, kind in ((f"a $${long}$$ b", "formula"), (f"a \\[{long}\\] b", "formula"), (f"a \\({long}\\) b", "formula"), (f"a ${long}y$ b", "formula")):
+        found, blocks = M.parse(text)
+        assert found and [b[0] for b in blocks if b[0] != "paragraph"] == [kind], text[:9]
+    for text in (f"a *{long}y* b", f"a _{long}y_ b", f"a ''{long}y'' b", f"a ~~{long}~~ b", f"a [{long}](u) b", f"a [[{long}]] b", "a {{" + long + "}} b"):
+        found, blocks = M.parse(text)
+        assert found and not set("*_~[{'") & set(blocks[0][2]), text[:9]
+    # an opening sign without its closing one before a blank line is no formula
+    assert [b[0] for b in M.parse("costs $$ a\n\nand $$ b")[1]] == ["paragraph"]
+
+
+@pytest.mark.parametrize("sign", ["[ ", "_a ", "*a ", "{{", "[a](", "\\[ ", "$a ", "\\a[", "<a ", "[[a ", "- ", "= a ", "<pre ", "<div>a", "<ul><li>a", "|-\n| a ", "' '", "\\begin{verbatim} ", "% \n", " "])
+def test_linear_time(sign):
+    began = time.time()
+    M.parse("\\section{x} " + sign * (1_000_000 // len(sign)))
+    assert time.time() - began < 20
+
+
+def test_no_residue():
+    text = "\n".join(["{| class=\"x\"", "|-", "! Name !! Size", "|-", "| iron || small", "|}", "", "| a | b |", "|---|:--:|", "| c | d |", "", "> quoted words", "> more", "", "see [the page][ref] here", "", "[ref]: http://x.y", "", "\\maketitle\\centering", "one\\\\", "two {{cite|{{nested}}|y}} three", "", "<o:p>office</o:p>", "", "Fact<ref>cite</ref> and snake_case_name and _it_."])
+    found, blocks = M.parse(text)
+    whole = "\n".join(b[2] for b in blocks)
+    assert found and not re.search(r"[|{}\[\]<>\\]|---|!!|:-|http|maketitle|_it_", whole)
+    for words in ("Name Size", "iron small", "a b", "c d", "quoted words\nmore", "see the page here", "two three", "office", "Fact cite and snake_case_name and it."):
+        assert re.sub(r"[ \n]+", " ", words) in re.sub(r"[ \n]+", " ", whole), words
+
+
+def test_levels_and_numbers(spark):
+    text = "<ol><li>one<ul><li>inner</li></ul></li><li>two</li></ol>\n\n- a\n  - b\n\n3. c\n\n\\begin{enumerate}\n\\item d\n\\item e\n\\end{enumerate}"
+    items = [(b[1], b[5], b[2]) for b in M.parse(text)[1] if b[0] == "list_item"]
+    assert items == [(1, "1.", "one"), (2, "-", "inner"), (1, "2.", "two"), (1, "-", "a"), (2, "-", "b"), (1, "3.", "c"), (1, "1.", "d"), (1, "2.", "e")]
+    df = spark.createDataFrame([("x", text, "/h/a.md")], "doc_id string, content string, path string")
+    assert "1. one\n\n  - inner\n\n2. two\n\n- a" in M.clean_text(M.extract(df)).first()["text"]
+
+
+def test_a_long_page_has_one_vote(spark, monkeypatch):
+    nav = '<div class="nav">' + "".join(f'<a href="u">link {i}</a> ' for i in range(9)) + "</div>"
+    pages = [(f"p{i}", f"<div class=body>Words of page {i} that are no link at all.</div>{nav}", f"http://h/{i}") for i in range(4)]
+    pages.append(("long", "<div class=body>Some text.</div><div class=nav>" + "many plain words in the wrong place " * 400 + "</div>", "http://h/9"))
+    pages += [(f"o{i}", f"<div class=body>Other host {i}.</div>", f"http://o/{i}") for i in range(3)]
+    df = spark.createDataFrame(pages, "doc_id string, content string, path string")
+    lost = {r["path"] for r in M.votes(M.pages(df)).where("NOT wins").collect()}
+    assert lost == {"div.nav"}
+    for limit in (8 << 20, 0):  # few lists of lost paths travel, many are met by host
+        monkeypatch.setattr(M, "LOST_BYTES", limit)
+        got = {r["id"]: r["text"] for r in M.clean_text(M.extract(df)).collect()}
+        assert len(got) == 8 and "link" not in got["p1"].replace("no link", "") and got["o1"] == "Other host 1."
