@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.ordering import number_rows
+from cairn.operators.ordering import join_counted, number_rows
 from cairn.session import materialize
 
 
@@ -30,17 +30,21 @@ def places(scored: DataFrame, n_scores: int) -> DataFrame:
     """(g, item, ranks): place per score; null where the score does not count in the group.
 
     One range sort over (group, score number, value) numbers all lists at once, so a group that holds a third of all rows
-    is still spread over the tasks.
+    is still spread over the tasks; so is a score that a third of the items share, for all joins know how many rows a key has.
     """
     long = scored.select("g", "item", F.posexplode("vals").alias("s", "v"))
     numbered = number_rows(long.where(F.col("v").isNotNull()), ["g", "s", F.desc("v")], out="pos", label="places")
-    first = numbered.groupBy("g", "s", "v").agg(F.min("pos").alias("at"), F.count("*").alias("n"))
+    first = materialize(numbered.groupBy("g", "s", "v").agg(F.min("pos").alias("at"), F.count("*").alias("n")), "values")
     lists = first.groupBy("g", "s").agg(F.min("at").alias("start"), F.sum("n").alias("n"), F.count("*").alias("values"))
-    lists = lists.where(F.col("values") >= 2)
-    at = first.join(lists, ["g", "s"]).select("g", "s", "v", (F.col("at") - F.col("start") + 1).alias("place"))
-    placed = numbered.join(at, ["g", "s", "v"]).groupBy("g", "item").agg(F.map_from_entries(F.collect_list(F.struct("s", "place"))).alias("at"))
-    counts = lists.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("n"))
-    full = scored.select("g", "item").join(counts, "g", "left").join(placed, ["g", "item"], "left")
+    lists = materialize(lists, "lists")
+    total = lists.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("values"), F.lit(0))).first()
+    counted = lists.where(F.col("values") >= 2)
+    at = join_counted(first.withColumnRenamed("n", "rows"), counted, ["g", "s"], "values", total[1])
+    at = at.select("g", "s", "v", "rows", (F.col("at") - F.col("start") + 1).alias("place"))
+    placed = join_counted(numbered, at, ["g", "s", "v"], "rows", total[0]).groupBy("g", "item").agg(F.map_from_entries(F.collect_list(F.struct("s", "place"))).alias("at"))
+    counts = counted.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("s", "n"))).alias("n"))
+    sizes = scored.groupBy("g").agg(F.count("*").alias("rows")).join(counts, "g", "left")
+    full = join_counted(scored.select("g", "item"), sizes, "g", "rows", scored.count()).join(placed, ["g", "item"], "left")
     rank = lambda s: F.when(F.try_element_at("n", F.lit(s)).isNotNull(), F.coalesce(F.try_element_at("at", F.lit(s)), F.try_element_at("n", F.lit(s)) + 1))
     return full.select("g", "item", F.array(*(rank(s) for s in range(n_scores))).alias("ranks"))
 
@@ -83,5 +87,5 @@ def fused(ranked: DataFrame, group: str = "query_id", item: str = "doc_id") -> D
     """(group, item, place, median_rank, mean_rank): the whole ranking, places from 1 per group."""
     key = [F.coalesce(F.col(c), F.lit(float("inf"))) for c in _ORDER]
     pos = number_rows(ranked, [F.col(group), *key, F.col(item)], out="pos", label="fused")
-    start = pos.groupBy(group).agg(F.min("pos").alias("start"))
-    return pos.join(start, group).select(group, item, (F.col("pos") - F.col("start") + 1).alias("place"), *_ORDER)
+    start = pos.groupBy(group).agg(F.min("pos").alias("start"), F.count("*").alias("rows"))
+    return join_counted(pos, start, group, "rows", pos.count()).select(group, item, (F.col("pos") - F.col("start") + 1).alias("place"), *_ORDER)

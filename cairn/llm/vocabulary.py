@@ -44,6 +44,11 @@ def unpack(ids: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(ids, dtype=np.uint8), bitorder="little"))
 
 
+def cardinality(ids: bytes) -> int:
+    """Number of offsets in a container: those of the array, or the bits set in the bitmap."""
+    return len(ids) // 2 if len(ids) < CHUNK // 8 else int(np.bitwise_count(np.frombuffer(ids, dtype=np.uint64)).sum())
+
+
 def union(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets with counters from several containers: each offset once, with its largest counter."""
     order = np.lexsort((counts, ids))
@@ -53,7 +58,7 @@ def union(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counters(counts: np.ndarray) -> bytes:
-    wide = 1 if counts.max(initial=0) < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    wide = 1 if counts.max(initial=0) < 1 << 8 else 2 if counts.max() < 1 << 16 else 4 if counts.max() < 1 << 32 else 8
     return bytes([wide]) + counts.astype(f"<u{wide}").tobytes()
 
 
@@ -116,8 +121,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        c = [_uncount(x) for x in b["counts"].to_pylist()]
-        df, uses = pa.array([len(x) for x in c], pa.int64()), pa.array([int(x.sum()) for x in c], pa.int64())
+        df = pa.array([cardinality(x) for x in b["ids"].to_pylist()], pa.int64())
+        uses = pa.array([int(_uncount(x).sum()) for x in b["counts"].to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([b["token"].cast(pa.string()), df, uses], names=["token", "df", "uses"])
 
 
@@ -142,7 +147,7 @@ def merged(partial: DataFrame) -> DataFrame:
 
 def frequencies(held: DataFrame) -> DataFrame:
     """(token, uses, df) from the containers."""
-    each = held.select("token", "counts").mapInArrow(_measure, "token string, df bigint, uses bigint")
+    each = held.select("token", "ids", "counts").mapInArrow(_measure, "token string, df bigint, uses bigint")
     return each.groupBy("token").agg(F.sum("uses").alias("uses"), F.sum("df").alias("df"))
 
 

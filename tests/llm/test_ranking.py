@@ -170,3 +170,32 @@ def test_one_query_holds_most_rows(spark):
     ranked = rankfuse.median_rank(big, ["a", "b", "c"])
     assert ranked.count() == 4000
     assert ranked.where("doc_id = 'd3999'").first()["median_rank"] == 1.0
+
+
+def test_a_tie_over_a_third_of_all_rows(spark):
+    from cairn.llm import rankfuse
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, f"d{i:04}", 1.0 if i % 3 else float(i), float(-i), 0.5) for i in range(2000)] + [(q, f"d{i}", float(i), float(i), 1.0) for q in range(2, 60) for i in range(20)]
+        df = spark.createDataFrame(rows, "query_id int, doc_id string, a double, b double, c double").selectExpr("*", "TIMESTAMP '2024-01-01' AS scored_at", "1 AS rows")
+        ranked = rankfuse.median_rank(df, ["a", "b", "c"])
+        got = {(r["query_id"], r["doc_id"]): r for r in ranked.collect()}
+        better = sum(1 for i in range(2000) if i % 3 == 0 and i > 1)
+        assert len(got) == len(rows) and got[1, "d0001"]["median_rank"] == (1 + better + 2) / 2  # places in a and b; c does not count
+        assert got[2, "d19"]["median_rank"] == 1.0 and got[2, "d0"]["mean_rank"] == 20.0
+        out = {(r["query_id"], r["doc_id"]): r["place"] for r in rankfuse.fused(ranked).collect()}
+        assert out[3, "d19"] == 1 and sorted(v for (q, _), v in out.items() if q == 1) == list(range(1, 2001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_cardinality_of_containers():
+    import numpy as np
+
+    from cairn.llm import vocabulary
+
+    for n in (0, 1, 4095, 4096, 65536):
+        at = np.arange(n)
+        assert vocabulary.cardinality(vocabulary.pack(at)) == n == len(vocabulary.unpack(vocabulary.pack(at)))
