@@ -1,7 +1,8 @@
 """Most similar vectors for every vector (problem 7): an inverted file with product-quantised residuals.
 
-Training (driver, bounded): k-means on at most ``SAMPLE_PER_LIST`` vectors per coarse list gives the centroids, k-means per
-sub-space on at most ``PQ_SAMPLE`` of their residuals the codebooks. Indexing (every row): nearest centroid and residual
+Training (driver, bounded): k-means on ``SAMPLE_PER_LIST`` vectors per coarse list, ``SAMPLE`` in all at most, gives the
+centroids, k-means per sub-space on at most ``PQ_SAMPLE`` of their residuals the codebooks. There are as many lists as the root
+of the number of vectors, however many that is; beyond ``TWO_LEVEL`` of them k-means is made in two levels. Indexing (every row): nearest centroid and residual
 codes. Search: each query probes its nearest lists; within a list, codes are scored from the query's asymmetric distance
 tables, and the best ``rerank`` are scored exactly by their cosine in double precision. How many lists are probed is measured,
 not fixed: the fewest that hold a share ``FOUND`` of the exact neighbours of ``TRIALS`` vectors of the table, which are
@@ -12,7 +13,7 @@ about ``BLOCK`` rows and the queries of a list into blocks too, so neither a lis
 that a third of the queries probe comes into one task.
 
 Defined results: vectors that are null, of another length, with a null or non-finite component, or of zero norm take no part,
-nor do rows with a null id; of several vectors of one id the first in array order holds; a vector is no neighbour of its own
+nor do rows with a null id (any finite length counts, however large or small); of several vectors of one id the first in array order holds; a vector is no neighbour of its own
 id; equal similarities are ordered by id; fewer than k other vectors give fewer rows; an empty table gives no rows.
 """
 
@@ -28,24 +29,24 @@ from pyspark.sql import functions as F
 
 from cairn.session import materialize
 
-SAMPLE_PER_LIST, PQ_SAMPLE, MAX_LISTS, BLOCK, QUERY_BLOCK = 48, 8192, 1024, 8192, 1024
-TRIALS, FOUND = 512, 0.999
+SAMPLE_PER_LIST, SAMPLE, PQ_SAMPLE, BLOCK, QUERY_BLOCK = 48, 500_000, 8192, 8192, 4096
+TRIALS, FOUND, TWO_LEVEL, SUB_SPACES = 512, 0.999, 2048, 16
 
 
 @dataclass
 class Model:
-    """Coarse centroids (lists x dims) and residual codebooks (sub-spaces x codes x dims per sub-space)."""
+    """Coarse centroids (lists x dims) and residual codebooks: of each sub-space its first component and codes x components.
+    Sub-spaces differ by one component at most, so no component of a vector is left out."""
 
     centroids: np.ndarray
-    books: np.ndarray
+    books: list[tuple[int, np.ndarray]]
 
     def encode(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lists = np.concatenate([(v[i : i + 4096] @ self.centroids.T - 0.5 * (self.centroids**2).sum(1)).argmax(1) for i in range(0, len(v), 4096)])
         rest = v - self.centroids[lists]
-        m, _, w = self.books.shape
-        codes = np.empty((len(v), m), dtype=np.uint8)
-        for s in range(m):
-            x, b = rest[:, s * w : (s + 1) * w], self.books[s]
+        codes = np.empty((len(v), len(self.books)), dtype=np.uint8)
+        for s, (at, b) in enumerate(self.books):
+            x = rest[:, at : at + b.shape[1]]
             for i in range(0, len(v), 4096):
                 codes[i : i + 4096, s] = (x[i : i + 4096] @ b.T - 0.5 * (b**2).sum(1)).argmax(1)
         return lists.astype(np.int32), codes
@@ -55,7 +56,7 @@ def _kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(steps):
-        at = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+        at = _nearest(x, c)
         n = np.bincount(at, minlength=len(c))
         total = np.zeros_like(c)
         np.add.at(total, at, x)
@@ -65,24 +66,43 @@ def _kmeans(x: np.ndarray, k: int, steps: int, seed: int) -> np.ndarray:
     return c
 
 
-def train(sample: np.ndarray, lists: int, sub_spaces: int = 16, seed: int = 42) -> Model:
-    centroids = _kmeans(sample, lists, 8, seed)
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = 0.5 * (c**2).sum(1)
+    step = max(1, 8_000_000 // len(c))
+    return np.concatenate([(x[i : i + step] @ c.T - half).argmax(1) for i in range(0, len(x), step)])
+
+
+def _coarse(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
+    """Centroids of the lists; of many lists first their root in groups, then each group's share within it."""
+    if lists <= TWO_LEVEL:
+        return _kmeans(x, lists, 8, seed)
+    groups = _kmeans(x, int(lists**0.5), 8, seed)
+    at = _nearest(x, groups)
+    n = np.bincount(at, minlength=len(groups))
+    share = np.maximum(n > 0, np.floor(n * lists / len(x))).astype(int)
+    return np.concatenate([_kmeans(x[at == g], int(k), 8, seed + g) for g, k in enumerate(share) if k])
+
+
+def train(sample: np.ndarray, lists: int, sub_spaces: int = SUB_SPACES, seed: int = 42) -> Model:
+    centroids = _coarse(sample, lists, seed)
     x = sample[:PQ_SAMPLE]
-    rest = x - centroids[(x @ centroids.T - 0.5 * (centroids**2).sum(1)).argmax(1)]
-    w = sample.shape[1] // sub_spaces
-    books = np.stack([_kmeans(rest[:, s * w : (s + 1) * w], 256, 5, seed + s) for s in range(sub_spaces)])
-    return Model(centroids.astype(np.float32), books.astype(np.float32))
+    rest = x - centroids[_nearest(x, centroids)]
+    parts = np.array_split(np.arange(sample.shape[1]), min(sub_spaces, sample.shape[1]))
+    books = [(int(p[0]), _kmeans(rest[:, p], 256, 5, seed + s).astype(np.float32)) for s, p in enumerate(parts)]
+    return Model(centroids.astype(np.float32), books)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
     """(id, vec array<double>): the vectors that take part, one per id."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    good = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e150)) & F.exists(v, lambda x: F.abs(x) > 1e-150)
+    good = (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), v.alias("vec")).where(good).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def _unit(col: pd.Series, dims: int) -> np.ndarray:
     v = np.stack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, dims))
+    exponent = np.frexp(np.abs(v).max(axis=1, initial=0.0))[1]
+    v = np.ldexp(v, -exponent[:, None])  # an exact scaling, so that no square is too large or too small
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -97,9 +117,9 @@ class VectorIndex:
         self.rows = None
         if not self.n:
             return
-        self.nlists = min(nlists or max(1, int(round(self.n**0.5))), MAX_LISTS, self.n)
-        size = min(self.n, SAMPLE_PER_LIST * self.nlists)
-        # a bounded sample for training, chosen by hash of the id: at most MAX_LISTS * SAMPLE_PER_LIST vectors
+        self.nlists = min(nlists or max(1, int(round(self.n**0.5))), self.n)
+        size = min(self.n, max(self.nlists, min(SAMPLE, SAMPLE_PER_LIST * self.nlists)))
+        # a bounded sample for training, chosen by hash of the id
         picked = self.vectors.orderBy(F.xxhash64("id"), "id").limit(size).toPandas()
         self.model = train(_unit(picked["vec"], dims), self.nlists)
         self.trials = picked[:TRIALS]
@@ -113,7 +133,7 @@ class VectorIndex:
                     yield pdf.assign(list=lists, code=[c.tobytes() for c in codes])
 
         coded = materialize(self.vectors.mapInPandas(encode, f"id {self.kind}, vec array<double>, list int, code binary"), "codes")
-        self.sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # at most MAX_LISTS rows
+        self.sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # one row per list
         self.blocks = [-(-self.sizes.get(i, 0) // BLOCK) for i in range(len(model.centroids))]
         n_blocks = F.element_at(F.array(*map(F.lit, self.blocks)), F.col("list") + 1)
         self.rows = coded.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
@@ -188,13 +208,12 @@ class VectorIndex:
                 return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
             exact_q, exact_x = _unit(q["qvec"], dims), _unit(x["vec"], dims)
             codes = np.frombuffer(b"".join(x["code"]), dtype=np.uint8).reshape(len(x), -1)
-            w = model.books.shape[2]
             ids, found = x["id"].to_numpy(), []
             for i in range(0, len(q), 256):
                 part = exact_q[i : i + 256].astype(np.float32)
                 score = np.zeros((len(part), len(x)), dtype=np.float32)
-                for s in range(model.books.shape[0]):  # the list's centroid adds the same to every code of the list
-                    score += (part[:, s * w : (s + 1) * w] @ model.books[s].T)[:, codes[:, s]]
+                for s, (at, book) in enumerate(model.books):  # the list's centroid adds the same to every code of the list
+                    score += (part[:, at : at + book.shape[1]] @ book.T)[:, codes[:, s]]
                 take = min(rerank, len(x))
                 best = np.argpartition(-score, take - 1, axis=1)[:, :take]
                 cos = np.einsum("qd,qrd->qr", exact_q[i : i + 256], exact_x[best])
@@ -213,8 +232,14 @@ class VectorIndex:
         return self.search(self.vectors, k, **how) if self.rows is not None else self.search(self.vectors)
 
 
+SMALL = 100_000
+
+
 def exact_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Brute force over (id, vec) tables: the measure of recall, for small tables."""
+    """Brute force over (id, vec) tables: the measure of recall, for small tables. At most ``SMALL`` vectors; of larger tables
+    ``operators.ann.exact`` takes a stated set of queries block by block."""
+    if vectors.limit(SMALL + 1).count() > SMALL:
+        raise ValueError("exact_neighbours is for small tables")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     q, v = queries.select(F.col("id").alias("q"), F.col("vec").alias("qv")), vectors.select("id", "vec")
     cos = dot(F.col("qv"), F.col("vec")) / F.sqrt(dot(F.col("qv"), F.col("qv")) * dot(F.col("vec"), F.col("vec")))
