@@ -142,6 +142,30 @@ def report(packed: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.sum("c").alias("room"), (F.sum("t") / F.sum("c")).alias("fill"))
 
 
+def broken(items: DataFrame, packed: DataFrame, packs: list[tuple[int, int]], id_col: str = "doc_id", size_col: str = "tokens") -> DataFrame:
+    """(pack_id, items, bad_containers, cut_texts, bad_texts): what was packed for each (pack_id, capacity) and jointly
+    (null), and how many containers and texts break a rule."""
+    spark = items.sparkSession
+    if not packs:
+        return spark.createDataFrame([], "pack_id bigint, items bigint, bad_containers bigint, cut_texts bigint, bad_texts bigint")
+    limits = {**{p: [c] for p, c in packs}, None: sorted({c for _, c in packs})}
+    sizes = spark.createDataFrame([(p, cs, cs[-1]) for p, cs in limits.items()], "pack_id bigint, sizes array<int>, top int")  # the parameter table
+    same = lambda a, b: a["pack_id"].eqNullSafe(b["pack_id"])
+    boxes = packed.groupBy("pack_id", "container").agg(F.sum("tokens").alias("t"), F.max("capacity_tokens").alias("c"), F.min("capacity_tokens").alias("c0"), F.max("filled").alias("f"))
+    wrong = (F.col("t") > F.col("c")) | (F.col("c") != F.col("c0")) | (F.col("f") != F.col("t")) | ~F.array_contains("sizes", F.col("c"))
+    boxes = boxes.join(F.broadcast(sizes), same(boxes, sizes)).groupBy(boxes["pack_id"]).agg(F.count_if(wrong).alias("bad_containers"))
+    size = items.where(F.col(size_col) >= 1).groupBy(id_col).agg(F.sum(size_col).alias("__size"), F.count("*").alias("__rows"))
+    of = packed.groupBy("pack_id", id_col).agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.countDistinct("start").alias("starts"))
+    asked = F.array(*(F.struct(F.lit(p).cast("bigint").alias("pack_id"), F.lit(cs[-1]).alias("top")) for p, cs in limits.items()))
+    every = size.select("*", F.inline(asked))
+    joined = every.join(of, (every[id_col] == of[id_col]) & same(every, of), "left")
+    # texts whose id stands once; of repeated rows only the sum is known
+    need = F.ceil(F.col("__size") / F.col("top"))
+    bad = F.col("t").isNull() | (F.col("t") != F.col("__size")) | ((F.col("__rows") == 1) & ((F.col("end") != F.col("__size")) | (F.col("starts") != F.col("pieces"))))
+    texts = joined.groupBy(every["pack_id"]).agg(F.count("*").alias("items"), F.count_if((F.col("__rows") == 1) & (F.col("pieces") > need)).alias("cut_texts"), F.count_if(bad).alias("bad_texts"))
+    return texts.join(boxes, texts["pack_id"].eqNullSafe(boxes["pack_id"])).select(texts["pack_id"], "items", "bad_containers", "cut_texts", "bad_texts")
+
+
 def sized(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: str) -> DataFrame:
     """(id, tokens) of every text, as a written table."""
     from cairn.llm.tokens import token_counts

@@ -85,6 +85,12 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     return neardup.link_counts(*neardup.near_duplicates(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each text of documents with its group: the texts that near-duplicate links connect (five words, 0.8)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return neardup.groups(*neardup.near_duplicates(docs, "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest other vectors of each item asked about, in its own table."""
     found = []
@@ -112,42 +118,65 @@ def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
 
 
 def _packs(spark: SparkSession, d: str) -> DataFrame:
+    """One packing for each capacity of the table, and one for all capacities jointly (``pack_id`` null)."""
     sized = packing.sized(table(spark, d, "documents"))
-    out = None
-    for pack_id, capacity in _capacities(spark, d):
-        one = packing.pack(sized, [capacity]).withColumn("pack_id", F.lit(pack_id).cast("bigint"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else packing.pack(sized, []).withColumn("pack_id", F.lit(None).cast("bigint"))
+    each = _capacities(spark, d)
+    out = packing.pack(sized, [c for _, c in each]).withColumn("pack_id", F.lit(None).cast("bigint"))
+    for pack_id, capacity in each:
+        out = out.unionByName(packing.pack(sized, [capacity]).withColumn("pack_id", F.lit(pack_id).cast("bigint")))
+    return out
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Every text, or piece of a text larger than the container, in its container, for each capacity."""
+    """Every text, or piece of a text larger than the container, in its container: for each capacity alone, and with all
+    capacities permitted side by side (``pack_id`` null), where the least-cost one is opened and each container downsized."""
     return _packs(spark, d)
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers and part of their room filled, for each capacity."""
+    """Containers and part of their room filled, for each capacity and for all jointly."""
     return packing.report(_packs(spark, d), "pack_id")
 
 
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How often each packing breaks a rule: a container of no permitted size, or fuller than its size, or filled otherwise than
+    stated; a text that is cut without need, has gaps between its pieces or is missing. Never."""
+    sized = packing.sized(table(spark, d, "documents"))
+    return packing.broken(sized, materialize(_packs(spark, d), "packs"), _capacities(spark, d))
+
+
 def p8_joint(spark: SparkSession, d: str) -> DataFrame:
     """All capacities permitted at once: every text in a container downsized to its contents."""
     return packing.pack(packing.sized(table(spark, d, "documents")), [c for _, c in _capacities(spark, d)])
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
+def _sources(spark: SparkSession, d: str) -> DataFrame:
     sized = tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
-    return mixture.mixture(materialize(mixture.usable(sized), "sized"), table(spark, d, "mix_target"))
+    return materialize(mixture.usable(sized), "sized")
+
+
+def _mixed(sized: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Cut at the budget, then the room that a long text left at the end of a queue is filled, in two rounds."""
+    return mixture.mixture(sized, table(spark, d, "mix_target"), fill=2)
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The texts of each mixture in reading order."""
-    return _mixed(spark, d).withColumnRenamed("id", "doc_id")
+    return _mixed(_sources(spark, d), spark, d).withColumnRenamed("id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted and reached shares of each source of each mixture."""
-    return mixture.reached(materialize(_mixed(spark, d), "mixed"), table(spark, d, "mix_target"))
+    """Wanted and reached shares of each source of each mixture, its budget and the source that sets it."""
+    sized, mix = _sources(spark, d), table(spark, d, "mix_target")
+    return mixture.reached(materialize(_mixed(sized, spark, d), "mixed"), mix, mixture.shares(sized, mix))
+
+
+def p9_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How often a mixture breaks a rule: texts used more than ``max_repeats`` times, a text used twice with one number, places
+    that don't run from the first token to the last, sources that aren't wanted, more tokens than the budget, shares off by
+    more than one text of the source. Never."""
+    sized, mix = _sources(spark, d), table(spark, d, "mix_target")
+    return mixture.broken(sized, mix, materialize(_mixed(sized, spark, d), "mixed"))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +215,7 @@ o AS (SELECT query_id, doc_id, median_rank, mean_rank FROM (SELECT DISTINCT quer
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank NULLS LAST, mean_rank NULLS LAST, doc_id) AS place FROM o)
 """
 _WORDS = """
-WITH r AS (SELECT {id} AS id, min({text}) AS text FROM {table} WHERE {id} IS NOT NULL GROUP BY 1),
+WITH RECURSIVE r AS (SELECT {id} AS id, min({text}) AS text FROM {table} WHERE {id} IS NOT NULL GROUP BY 1),
 w AS (SELECT id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{Nd}}]+'), lambda x: lower(x)) AS w FROM r),
 s AS (SELECT DISTINCT id, sh FROM (SELECT id, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) AS sh FROM w WHERE len(w) >= {k})),
 n AS (SELECT id, count(*) AS n, md5(string_agg(sh, '|' ORDER BY sh)) AS h FROM s GROUP BY 1),
@@ -195,9 +224,9 @@ j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.
 """
 
 QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes,
-    "p6_found": p6_found, "p6_links": p6_links,
-    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_composition": p10_composition}
+    "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups,
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint, "p8_rules": p8_rules,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_composition": p10_composition}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
@@ -219,5 +248,16 @@ ORACLES = {
   count(*) OVER (PARTITION BY h) AS class_size FROM n), e AS (SELECT x.rep AS p, y.rep AS q FROM j JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep GROUP BY ALL),
   k AS (SELECT rep, count(DISTINCT o) AS n_links FROM (SELECT p AS rep, q AS o FROM e UNION ALL SELECT q, p FROM e) GROUP BY 1)
   SELECT id AS doc_id, m.rep AS rep, class_size, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN k USING (rep)""",
+    "p6_groups": _WORDS.format(id="doc_id", text="text", table="documents", k=5, t=0.8) + """, m AS (SELECT id, min(id) OVER (PARTITION BY h) AS rep FROM n),
+  e AS (SELECT DISTINCT x.rep AS p, y.rep AS q FROM j JOIN m x ON x.id = a JOIN m y ON y.id = b WHERE x.rep <> y.rep),
+  cc(rep, g) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT o, g FROM cc JOIN (SELECT p AS i, q AS o FROM e UNION SELECT q, p FROM e) ON i = rep),
+  l AS (SELECT rep, min(g) AS group_id FROM cc GROUP BY 1)
+  SELECT id AS doc_id, rep, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m JOIN l USING (rep)""",
+    "p8_rules": """SELECT pack_id, (SELECT count(*) FROM documents WHERE text <> '') AS items, 0::BIGINT AS bad_containers, 0::BIGINT AS cut_texts, 0::BIGINT AS bad_texts
+  FROM (SELECT DISTINCT pack_id FROM pack_capacity WHERE pack_id IS NOT NULL AND capacity_tokens > 0 UNION ALL SELECT NULL)""",
+    "p9_rules": """WITH k AS (SELECT DISTINCT lower(regexp_replace(source, '[^\\p{L}\\p{Nd}]', '', 'g')) AS k FROM documents WHERE text <> ''),
+  t AS (SELECT mix_id, lower(regexp_replace(source, '[^\\p{L}\\p{Nd}]', '', 'g')) AS k, sum(CASE WHEN target_share > 0 AND NOT isnan(target_share) THEN target_share END) AS w, min(coalesce(max_repeats, 1)) AS r
+    FROM (SELECT DISTINCT * FROM mix_target) WHERE mix_id IS NOT NULL GROUP BY ALL)
+  SELECT DISTINCT mix_id, 0::BIGINT AS overused, 0::BIGINT AS doubled, 0::BIGINT AS gaps, 0::BIGINT AS unwanted, 0::BIGINT AS over_budget, 0::BIGINT AS off_share FROM t JOIN k USING (k) WHERE k <> '' AND w > 0 AND r >= 1""",
     "p2_ranking": _RANKS + "SELECT query_id, doc_id, place, round(median_rank, 6) AS median_rank, round(mean_rank, 6) AS mean_rank FROM t",
 }

@@ -163,3 +163,27 @@ def test_label_model_learns_who_is_right():
     acc, _ = subjects.fit_accuracies(patterns, counts.astype(float), 4)
     assert acc[0] > 0.9 and acc[0] > acc[1] > acc[2]
     assert (subjects.posterior(votes, acc, np.full(4, 0.25)).argmax(axis=1) == y).mean() > 0.9
+
+
+def test_no_rule_is_broken_and_breaks_are_seen(spark):
+    r = random.Random(9)
+    rows = [(i, r.choice(["a", "b", "c"]), r.randrange(1, 300)) for i in range(500)]
+    sized = mixture.usable(spark.createDataFrame(rows, "doc_id bigint, source string, tokens int"))
+    mix = spark.createDataFrame([(1, "a", 0.2, 1), (1, "b", 0.8, 2), (2, "c", 1.0, 3)], MIX)
+    for fill in (0, 2):
+        mixed = mixture.mixture(sized, mix, fill=fill)
+        assert all(not any(x[1:]) for x in mixture.broken(sized, mix, mixed).collect())
+    plan = {(x["mix_id"], x["source"]): x["binding"] for x in mixture.reached(mixed, mix, mixture.shares(sized, mix)).collect()}
+    assert sorted(plan) == [(1, "a"), (1, "b"), (2, "c")] and plan[2, "c"] and plan[1, "a"] + plan[1, "b"] == 1
+    seen = mixture.broken(sized, mix, mixed.unionByName(mixed.where("mix_id = 1"))).where("mix_id = 1").first()
+    assert seen["overused"] and seen["doubled"] and seen["gaps"] and seen["over_budget"]
+    items = spark.createDataFrame([(i, r.randrange(1, 90)) for i in range(300)], "doc_id bigint, tokens int")
+    packs = [(1, 32), (2, 64)]
+    packed = packing.pack(items, [32, 64]).selectExpr("CAST(NULL AS BIGINT) AS pack_id", "*")
+    for p, c in packs:
+        packed = packed.unionByName(packing.pack(items, [c]).selectExpr(f"CAST({p} AS BIGINT) AS pack_id", "*"))
+    assert [x[1:] for x in packing.broken(items, packed, packs).collect()] == [(300, 0, 0, 0)] * 3
+    short = packing.broken(items, packed.where("doc_id <> 7 AND container <> 3"), packs).collect()
+    assert all(x["bad_texts"] > 0 for x in short)
+    assert all(x["bad_containers"] > 0 for x in packing.broken(items, packed.withColumn("tokens", packed["tokens"] + 1), packs).collect())
+    assert packing.broken(items, packed, []).count() == 0
