@@ -135,3 +135,84 @@ def test_vector_edges(spark):
     assert {(r["id"], r["neighbour"]) for r in exact.collect()} == {("a", "b"), ("b", "a"), ("c", "a")}
     assert neighbours.VectorIndex(df.where("false"), "k", "q", dims=2).neighbours_of_all().count() == 0
     assert index.search(index.vectors.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_blocks_of_hot_keys_lose_nothing(spark, monkeypatch, threshold):
+    rows = [(f"v{i:03}", " ".join(["same words in every one of these many texts here"] * 1 + [f"a{i} b{i}"] + [f"c{j}" for j in range(i % 7)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, content string")
+    s = {i: sets_of(t, 3) for i, t in rows}
+    want = {(a, b) for a in s for b in s if a < b and len(s[a] & s[b]) / len(s[a] | s[b]) >= threshold}
+    for hot in (4, 1024):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        got = {(r["a"], r["b"]) for r in neardup.near_duplicates(df, words=3, threshold=threshold)[1].collect()}
+        assert got == want and len(want) > 100
+
+
+def test_low_thresholds_have_a_plan():
+    for t in (0.01, 0.2, 0.25):
+        m, r = neardup.plan(t)
+        assert (1 - t**r - r * t ** (r - 1) * (1 - t)) ** m <= 1.001e-5
+    with pytest.raises(ValueError):
+        neardup.plan(0)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    chain, hub = [(i, i + 1) for i in range(70)], [(100, i) for i in range(101, 160)]
+    loose = [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
+    edges = chain + hub + [(b, a) for a, b in loose] + chain[:5]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {x["id"]: x["root"] for x in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert neardup.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_words_are_lowered_as_single_words(spark):
+    texts = ["ΑΣ'Α İstanbul one two", "ΑΣ Α İstanbul one two", "plain words one two"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(neardup.shingles(df["t"], 2)).collect()]
+    assert got[0] == got[1] and len(got[2]) == 3
+
+
+def test_every_component_counts(spark):
+    rng = np.random.default_rng(3)
+    for dims in (5, 19):  # fewer components than sub-spaces, and a number they don't divide
+        x = rng.standard_normal((300, dims))
+        x[:, :-1] *= 0.01  # the last component tells the most
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+        index = neighbours.VectorIndex(df, "id", "vec", dims=dims)
+        assert sum(b.shape[1] for _, b in index.model.books) == dims and len(index.model.books) == min(dims, 16)
+        found = {(r["id"], r["neighbour"]) for r in index.neighbours_of_all().collect()}
+        want = {(r["id"], r["neighbour"]) for r in neighbours.exact_neighbours(index.vectors, index.vectors).collect()}
+        assert len(found & want) >= 0.9 * len(want)
+
+
+def test_lists_beyond_one_level(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(neighbours, "TWO_LEVEL", 50)
+    model = neighbours.train(x, 200)
+    assert 150 <= len(model.centroids) <= 200 and np.isfinite(model.centroids).all()
+    lists, _ = model.encode(x.astype(np.float32))
+    assert len(np.unique(lists)) > 100
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e300, 0.0]), (1, [1.0, 0.01]), (2, [1e-300, 0.0]), (3, [0.0, 1e-310]), (4, [0.0, 2.0]), (5, [float("inf"), 1.0])]
+    index = neighbours.VectorIndex(spark.createDataFrame(rows, "id int, vec array<double>"), "id", "vec", dims=2)
+    got = {}
+    for r in index.neighbours_of_all(1).collect():
+        got[r["id"]] = r["neighbour"]
+    assert got == {0: 2, 1: 0, 2: 0, 3: 4, 4: 3}
