@@ -23,10 +23,12 @@ def forward(weights: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(h @ np.asarray(weights["w2"]) + weights["b2"])))[:, 0]
 
 
-def train(inputs: np.ndarray, targets: np.ndarray, epochs: int = 100, rate: float = 0.1, seed: int = 42) -> tuple[dict, list[float]]:
-    """Weights and the mean squared error of each epoch. One step per sample, its gradient divided by their number."""
-    w = initial(seed)
-    w1, b1, w2, b2 = w["w1"], w["b1"], w["w2"][:, 0].copy(), w["b2"]
+def train(inputs: np.ndarray, targets: np.ndarray, epochs: int = 100, rate: float = 0.1, seed: int = 42, start: dict | None = None) -> tuple[dict, list[float]]:
+    """Weights and the mean squared error of each epoch. One step per sample, its gradient divided by their number. Begins
+    with the weights ``start`` or, without them, with seeded ones."""
+    w = start or initial(seed)
+    w1, b1, w2, b2 = (np.array(w[n], dtype=float) for n in ("w1", "b1", "w2", "b2"))
+    w2 = w2[:, 0].copy()
     n, losses = max(1, len(inputs)), []
     for _ in range(epochs):
         loss = 0.0
@@ -53,9 +55,15 @@ def training_set(spark: SparkSession, rows: int = 1000) -> DataFrame:
     return x.withColumn("target", F.least(F.lit(1.0), 0.5 * b + 0.3 * e + 0.2 * r + 0.5 * b * e))
 
 
+_TRAINED: dict[int, tuple[dict, list[float]]] = {}
+
+
 def trained(spark: SparkSession, epochs: int = 100) -> tuple[dict, list[float]]:
-    rows = training_set(spark).orderBy("i").toPandas()  # a fixed thousand rows
-    return train(rows[["bm25", "embed", "rrf"]].to_numpy(), rows["target"].to_numpy(), epochs)
+    """The ranker of the fixed training set; always the same, so it is trained once in a process."""
+    if epochs not in _TRAINED:
+        rows = training_set(spark).orderBy("i").toPandas()  # a fixed thousand rows
+        _TRAINED[epochs] = train(rows[["bm25", "embed", "rrf"]].to_numpy(), rows["target"].to_numpy(), epochs)
+    return _TRAINED[epochs]
 
 
 def weights_table(spark: SparkSession, weights: dict) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from cairn.functions.text import pre_tokens
 from cairn.functions.vectors import gaussian_planes, quantize
 from cairn.operators import ann, embed, fusion, lexical, ranker, subwords, summarize
-from cairn.session import materialize
+from cairn.session import file_system, materialize
 
 RESULT = ["doc_id", "title", "path", "snippet", "score", "bm25_score", "embed_score", "rank", "x", "y"]
 
@@ -48,7 +49,10 @@ class Engine:
         return cls(spark, docs, merges, lexical.LexicalIndex.build(tokens), vectors, ann.BucketIndex(quantised, planes), weights, str(int(time.time() * 1000)))
 
     def encode(self, query: str) -> list[str]:
+        """Tokens of a query: subwords, or whole words where the store has no merge rules."""
         row = self.spark.range(1).select(pre_tokens(F.lit(query)).alias("t")).first()
+        if not self.merges:
+            return row["t"]
         ranks = subwords.rank_of(self.merges)
         return [t for w in row["t"] for t in subwords.encode_word(w, ranks)]
 
@@ -69,11 +73,16 @@ class Engine:
         near = self.buckets.query(vector, 2 * k).select("doc_id", "score", "rank")
         fused = fusion.mlp(words, near, self.weights, k) if mode == "mlp" and self.weights else fusion.rrf(words, near, k)
         fused = materialize(fused, "fused")
-        winners = self.documents.join(F.broadcast(fused), "doc_id")  # k rows
+        winners = hydrated(fused, self.documents)
         shown = summarize.snippet_strings(winners.select("doc_id", "content"), text_col="content")
         point = self.points().join(F.broadcast(fused.select("doc_id")), "doc_id")
         return winners.join(shown, "doc_id").join(point, "doc_id", "left").select(*RESULT)
 
+    def query_point(self, query: str) -> tuple[float, float]:
+        """The plot point of a query: the first two components of its vector."""
+        q = [*self.query_vector(self.encode(query)), 0, 0]
+        return q[0] / 127.0, q[1] / 127.0
+
     def points(self) -> DataFrame:
         """(doc_id, x, y): the first two components of every document vector."""
         return self.buckets.rows.select("doc_id", (F.get("q", F.lit(0)) / F.lit(127.0)).alias("x"), (F.get("q", F.lit(1)) / F.lit(127.0)).alias("y"))
@@ -83,7 +92,8 @@ class Engine:
         return self.documents.agg(F.count("*").alias("documents")).select("documents", F.lit(self.buckets.size()).alias("vectors"), F.lit(self.vectors.count()).alias("token_vectors"), F.lit(len(subwords.vocabulary(self.merges))).alias("vocabulary"))
 
     def save(self, path: str) -> None:
-        """All tables below a new folder; the pointer file that names it is replaced last, so readers see old or new."""
+        """All tables below a new folder. The pointer that names it appears last, by a rename, and older pointers go after that,
+        so a reader finds the old store or the new one at any time."""
         at = os.path.join(path, f"v{self.version}")
         tables = {"documents": self.documents, "postings": self.index.postings, "lengths": self.index.lengths, "vectors": self.vectors, "buckets": self.buckets.rows.drop("sig", "sig_high", "bucket"), "merges": subwords.merges_table(self.spark, self.merges)}
         if self.weights:
@@ -92,21 +102,37 @@ class Engine:
             t.write.mode("overwrite").parquet(os.path.join(at, name))
         planes = [(i, p.tolist()) for i, p in enumerate(self.buckets.planes)]
         self.spark.createDataFrame(planes, "i int, plane array<double>").write.mode("overwrite").parquet(os.path.join(at, "planes"))
-        self.spark.createDataFrame([(json.dumps({"version": self.version}),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "current"))
+        fs, name = file_system(self.spark, path)
+        new, pointer = name(os.path.join(path, f"_pointer-{uuid.uuid4().hex}")), name(os.path.join(path, f"CURRENT-{int(self.version):020d}.json"))
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps({"version": self.version}).encode()))
+        stream.close()
+        if not fs.rename(new, pointer) and not fs.exists(pointer):
+            raise RuntimeError(f"could not write to {path}")
+        for f in fs.globStatus(name(os.path.join(path, "CURRENT-*.json"))):
+            if str(f.getPath().getName()) < str(pointer.getName()):
+                fs.delete(f.getPath(), False)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Engine:
-        version = json.loads(spark.read.text(os.path.join(path, "current")).first()[0])["version"]
+        fs, name = file_system(spark, path)
+        pointers = sorted(str(f.getPath().getName()) for f in fs.globStatus(name(os.path.join(path, "CURRENT-*.json"))) or [])
+        if not pointers:
+            raise FileNotFoundError(f"no store in {path}")
+        version = str(int(pointers[-1][8:-5]))
         read = lambda n: spark.read.parquet(os.path.join(path, f"v{version}", n))
         merges = [(r["left"], r["right"]) for r in read("merges").orderBy("rank").collect()]
         planes = np.array([r["plane"] for r in read("planes").orderBy("i").collect()])
-        try:
-            weights = read("ranker").first().asDict()
-        except Exception:  # noqa: BLE001 - a store without a ranker fuses by reciprocal rank
-            weights = None
+        # a store without a ranker fuses by reciprocal rank
+        weights = read("ranker").first().asDict() if fs.exists(name(os.path.join(path, f"v{version}", "ranker"))) else None
         return cls(spark, read("documents"), merges, lexical.LexicalIndex(read("postings"), read("lengths")), read("vectors"), ann.BucketIndex(read("buckets"), planes), weights, version)
 
 
+def hydrated(fused: DataFrame, documents: DataFrame) -> DataFrame:
+    """The documents of ``fused``, at most k rows; what is no longer in the collection is left out."""
+    return documents.join(F.broadcast(fused), "doc_id")
+
+
 def as_json(results: DataFrame, query: str, latency_ms: int) -> DataFrame:
     """The result of a query as one JSON value: query, results, count, latency_ms. ``results`` are the k winners."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("rank"), F.struct(*RESULT).alias("r"))))

@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,13 +69,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def release(spark: SparkSession) -> int:
     """Delete all intermediate tables of this application; results that were not written or collected yet need them."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
+        fs, at = file_system(spark, p)
+        fs.delete(at(p), True)
     return len(paths)
 
 
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system of ``path``, maker of its path objects)."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, jvm.org.apache.hadoop.fs.Path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return bool(fs.exists(at(path)))
+
+
 def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:
     """``df`` over all cores if the optimiser takes it for smaller than ``below`` bytes; unchanged otherwise.
 
@@ -84,6 +97,19 @@ def spread(df: DataFrame, below: int = 16 << 20) -> DataFrame:
     return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism)) if size < below else df
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables that were written within it. What is read from them must be written or
+    collected by then."""
+    app = spark.sparkContext.applicationId
+    kept = _WRITTEN.pop(app, [])
+    try:
+        yield
+    finally:
+        release(spark)
+        _WRITTEN.setdefault(app, [])[:0] = kept
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, not from the lineage."""
     path = scratch_path(df.sparkSession, label)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators.changelog import ChangeStore
+from cairn.session import exists
 from cairn.sources import ingest
 
 FEED = "seq bigint, op tinyint, ts bigint, key string, value binary"
@@ -31,10 +32,8 @@ def ingest_stream(texts: DataFrame, target: str, checkpoint: str) -> StreamingQu
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(target).select("doc_id")
-        except Exception:  # noqa: BLE001 - nothing stored so far
-            known = spark.createDataFrame([], "doc_id string")
+        stored = exists(spark, target)
+        known = spark.read.parquet(target).select("doc_id") if stored else spark.createDataFrame([], "doc_id string")
         ingest.accepted(ingest.against_known(ingest.from_table(batch), known)).write.mode("append").parquet(target)
 
     return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
