@@ -67,6 +67,16 @@ def hashed_planes(n: int, dims: int) -> np.ndarray:
     return np.array([[1.0 if int(hashlib.md5(f"{i}:{j}".encode()).hexdigest()[0], 16) >= 8 else -1.0 for j in range(dims)] for i in range(n)])
 
 
+def hashed_gaussian_planes(n: int, dims: int) -> np.ndarray:
+    """Random unit hyperplanes that any engine can make: normal numbers by the polar formula from two uniform ones, which are
+    the first 32 bits of md5("u:plane:dim") and md5("v:plane:dim")."""
+    import hashlib
+
+    u = lambda tag: np.array([[(int(hashlib.md5(f"{tag}:{i}:{j}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for j in range(dims)] for i in range(n)])
+    p = np.sqrt(-2 * np.log(u("u"))) * np.cos(2 * np.pi * u("v"))
+    return p / np.linalg.norm(p, axis=1, keepdims=True)
+
+
 def with_signatures(vectors: DataFrame, vec_col: str, planes: np.ndarray, prefix_bits: int = 8) -> DataFrame:
     """``vectors`` with ``sig`` (planes 0-63), ``sig_high`` (planes 64-127) and ``bucket`` (low bits of ``sig``).
 

@@ -132,29 +132,37 @@ def truncated_svd(i: np.ndarray, j: np.ndarray, v: np.ndarray, n: int, k: int, s
 def symmetric_svd(entries: DataFrame, n: int, k: int, steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> np.ndarray:
     """``truncated_svd`` of a symmetric matrix (i, j, v) that stays in its files: each product with the basis (n x k, on the
     driver) is a job over the entries."""
-    spark = entries.sparkSession
-    stored = materialize(entries.repartition("i").sortWithinPartitions("i", "j"), "matrix")
-
-    def times(x: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(x)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    if not pdf["i"].is_monotonic_increasing:  # the end of one file and the start of another
-                        pdf = pdf.sort_values("i", kind="stable")
-                    rows, y = _times(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy(), shared.value)
-                    yield pd.DataFrame({"i": rows, "y": [p.tobytes() for p in y]})
-
-        got = stored.mapInPandas(run, "i int, y binary").toPandas()  # a row of the product may come in parts
-        out = np.zeros((n, x.shape[1]))
-        np.add.at(out, got["i"].to_numpy(), np.frombuffer(b"".join(got["y"])).reshape(-1, x.shape[1]))
-        shared.destroy()
-        return out
-
+    stored = stored_matrix(entries)
+    times = lambda x: product(stored, x)
     return _power(times, times, n, k, steps, tolerance, seed)
 
 
+def stored_matrix(entries: DataFrame) -> DataFrame:
+    """The entries (i, j, v) of a sparse matrix, written in the order of their rows."""
+    return materialize(entries.repartition("i").sortWithinPartitions("i", "j"), "matrix")
+
+
+def product(stored: DataFrame, x: np.ndarray) -> np.ndarray:
+    """A stored n x n matrix times ``x`` (n x k, on the driver): one job over the entries, to which ``x`` travels."""
+    spark = stored.sparkSession
+    shared = spark.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                if not pdf["i"].is_monotonic_increasing:  # the end of one file and the start of another
+                    pdf = pdf.sort_values("i", kind="stable")
+                rows, y = _times(pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["v"].to_numpy(), shared.value)
+                yield pd.DataFrame({"i": rows, "y": [p.tobytes() for p in y]})
+
+    got = stored.mapInPandas(run, "i int, y binary").toPandas()  # a row of the product may come in parts
+    out = np.zeros(x.shape)
+    if len(got):
+        np.add.at(out, got["i"].to_numpy(), np.frombuffer(b"".join(got["y"])).reshape(-1, x.shape[1]))
+    shared.destroy()
+    return out
+
+
 def token_vectors(tokens: DataFrame, config: Config | None = None) -> DataFrame:
     """(token, vec) of the ``max_vocab`` most used tokens (0: all). The matrix goes to the driver if it has at most
     ``ON_DRIVER`` entries and stays in its files otherwise; the vectors themselves are a model of bounded size."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairn.plans import feed, retrieval
+from cairn.plans import feed, retrieval, stated
 
-MODULES = [retrieval, feed]
+MODULES = [retrieval, stated, feed]
 
 
 def queries() -> dict:

@@ -227,7 +227,8 @@ def document_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subword_encode(spark: SparkSession, d: str) -> DataFrame:
-    return subwords.encode(_tokens(spark, d), subwords.read_merges())
+    encoded = subwords.encode(_tokens(spark, d), subwords.read_merges())
+    return encoded.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def _subword_ids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, subwords.Merges, list[str]]:
@@ -238,7 +239,7 @@ def _subword_ids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, sub
 
 
 def subword_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _subword_ids(spark, d)[1]
+    return _subword_ids(spark, d)[1].select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 
 def subword_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -256,7 +257,7 @@ def subword_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def subword_lowest_ids(spark: SparkSession, d: str) -> DataFrame:
     """The 100 tokens of lowest id (a listing of the vocabulary, as the feature has it)."""
-    return subwords.vocabulary_table(spark, subwords.read_merges(), subwords.characters(_tokens(spark, d))).orderBy("id").limit(100)
+    return subwords.vocabulary_table(spark, subwords.read_merges(), subwords.characters(_tokens(spark, d))).orderBy("id").limit(100).select("token", F.col("id").cast("bigint").alias("id"))
 
 
 def pair_frequencies(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +293,8 @@ def sentence_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def textrank_snippets(spark: SparkSession, d: str) -> DataFrame:
-    return summarize.snippets(table(spark, d, "documents"))
+    rows = summarize.snippets(table(spark, d, "documents"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence", F.round("score", 6).alias("score"))
 
 
 def kv_latest_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -319,11 +321,18 @@ def kv_stats(spark: SparkSession, d: str) -> DataFrame:
     return kv.stats(table(spark, d, "kv_log"))
 
 
+SEARCH = "the orbit of a comet near the telescope"
+
+
+def built_engine(spark: SparkSession, d: str) -> Engine:
+    """All models over the whole collection of records."""
+    docs = table(spark, d, "documents_idx").where("content IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("path", "title", "content")).alias("m"))
+    return Engine.build(docs.select("doc_id", "m.title", "m.path", "m.content"), _WHOLE)
+
+
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     """Build and one query over the whole collection of records."""
-    docs = table(spark, d, "documents_idx").where("content IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("path", "title", "content")).alias("m"))
-    engine = Engine.build(docs.select("doc_id", "m.title", "m.path", "m.content"), _WHOLE)
-    return engine.search("the orbit of a comet near the telescope", K)
+    return built_engine(spark, d).search(SEARCH, K)
 
 
 def engine_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -469,3 +478,63 @@ ORACLES = {
 }
 _CAP = f" ORDER BY f DESC, token LIMIT {VOCAB}"
 ORACLES |= {f"{name}_all": ORACLES[name].replace(_CAP, "") for name in ("cooccurrence", "ppmi")}
+
+# Rank of sentences: each has the edges to the sentences that share words, and one without weight to itself.
+_RANK = (
+    _BOW.replace("WITH c AS", "WITH RECURSIVE c AS", 1)
+    + """, nn AS (SELECT doc_id, pos, sqrt(sum(n * n)) AS norm FROM bo GROUP BY ALL), dd AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, sum(a.n * b.n) AS dot FROM bo a
+  JOIN bo b ON a.doc_id = b.doc_id AND a.word = b.word AND a.pos <> b.pos GROUP BY ALL),
+sm AS (SELECT dd.doc_id, i, j, dot / (x.norm * y.norm) AS s FROM dd JOIN nn x ON x.doc_id = dd.doc_id AND x.pos = i JOIN nn y ON y.doc_id = dd.doc_id AND y.pos = j),
+od AS (SELECT doc_id, i, sum(s) AS o FROM sm GROUP BY ALL), ct AS (SELECT doc_id, count(*) AS n FROM se GROUP BY 1),
+eg AS MATERIALIZED (SELECT sm.doc_id, sm.i, j, s / o AS w, n FROM sm JOIN od ON od.doc_id = sm.doc_id AND od.i = sm.i JOIN ct ON ct.doc_id = sm.doc_id WHERE o >= 1e-10 AND n > 3
+  UNION ALL SELECT doc_id, pos, pos, 0, n FROM se JOIN ct USING (doc_id) WHERE n > 3),
+rk(doc_id, i, step, r, done) AS (SELECT doc_id, pos, 0, 1.0::DOUBLE / n, false FROM se JOIN ct USING (doc_id) WHERE n > 3
+  UNION ALL SELECT doc_id, j, step, y, sqrt(sum((y - old) * (y - old)) OVER (PARTITION BY doc_id)) < 1e-6 FROM (SELECT rk.doc_id, eg.j, rk.step + 1 AS step,
+    0.15 / any_value(n) + 0.85 * sum(r * w) AS y, sum(CASE WHEN eg.i = eg.j THEN r END) AS old FROM rk JOIN eg ON eg.doc_id = rk.doc_id AND eg.i = rk.i WHERE NOT done AND rk.step < 50 GROUP BY ALL)),
+fr AS (SELECT doc_id, i AS pos, round(arg_max(r, step), 12) AS score FROM rk GROUP BY ALL),
+tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rn FROM fr),
+ch AS (SELECT doc_id, pos, sentence, score, row_number() OVER w AS rn, sum(strlen(sentence)) OVER w AS size FROM tp JOIN se USING (doc_id, pos) WHERE rn <= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, pos, sentence, round(score, 6) AS score FROM ch WHERE rn = 1 OR size <= 500
+UNION ALL SELECT doc_id, pos, sentence, 1.0 FROM se JOIN ct USING (doc_id) WHERE n <= 3"""
+)
+ORACLES["textrank_snippets"] = _RANK
+
+
+def subword_oracles() -> dict[str, str]:
+    """SQL that has the merge rules in it; none where the file of the tokenizer is missing.
+
+    A word is written as its symbols, each between chr(1) and chr(2), so joining a pair everywhere is one replacement. Each
+    step takes the rule of least rank above the last one among the pairs that stand there.
+    """
+    try:
+        merges = subwords.read_merges()
+    except OSError:
+        return {}
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({i},{q(a)},{q(b)})" for i, (a, b) in enumerate(merges))
+    base = (
+        _TOK.replace("WITH toks", "WITH RECURSIVE toks", 1)
+        + f""", ru(rank, l, r) AS (VALUES {rules}), wd AS (SELECT DISTINCT token AS w FROM tok),
+st(w, s, last) AS (SELECT w, regexp_replace(w, '(.)', chr(1) || '\\1' || chr(2), 'g'), -1 FROM wd
+  UNION ALL SELECT w, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || r || chr(2)), rank FROM (
+    SELECT w, any_value(s) AS s, min(rank) AS rank, arg_min(ru.l, rank) AS l, arg_min(ru.r, rank) AS r FROM (
+      SELECT w, s, last, unnest(y[:-2]) AS a, unnest(y[2:]) AS b FROM (SELECT w, s, last, string_split(replace(substr(s, 2), chr(2), ''), chr(1)) AS y FROM st) WHERE len(y) > 1) p
+      JOIN ru ON ru.l = p.a AND ru.r = p.b WHERE rank > last GROUP BY w)),
+en AS (SELECT w, string_split(replace(substr(arg_max(s, last), 2), chr(2), ''), chr(1)) AS y FROM st GROUP BY w),
+ts AS (SELECT doc_id, list(y ORDER BY pos) AS y FROM tok JOIN en ON en.w = tok.token GROUP BY 1),
+td AS (SELECT toks.doc_id, coalesce(flatten(y), []) AS y FROM toks LEFT JOIN ts USING (doc_id)),
+ch AS (SELECT DISTINCT unnest(string_split(l || r, '')) AS t FROM ru UNION SELECT DISTINCT unnest(string_split(w, '')) FROM wd),
+vo AS (SELECT t, row_number() OVER (ORDER BY kind, k, t) - 1 AS id FROM (SELECT t, min(kind) AS kind, arg_min(k, kind) AS k FROM (
+    SELECT t, 0 AS kind, 0 AS k FROM ch UNION ALL SELECT l || r, 1, min(rank) FROM ru GROUP BY 1) GROUP BY t)),
+ids AS (SELECT doc_id, list(coalesce(id, -1) ORDER BY nr) AS ids FROM (SELECT doc_id, unnest(y) AS t, generate_subscripts(y, 1) AS nr FROM td) JOIN vo USING (t) GROUP BY 1)"""
+    )
+    return {
+        "subword_encode": base + " SELECT doc_id, array_to_string(y, ' ') AS tokens FROM td",
+        "subword_ids": base + " SELECT td.doc_id, coalesce(array_to_string(ids, ' '), '') AS ids FROM td LEFT JOIN ids USING (doc_id)",
+        "subword_decode": base + " SELECT doc_id, array_to_string(y, ' ') AS text FROM td",
+        "subword_roundtrip": base + " SELECT count(*) AS wrong FROM td JOIN toks USING (doc_id) WHERE array_to_string(y, '') <> array_to_string(ts, '')",
+        "subword_lowest_ids": base + " SELECT t AS token, id FROM vo WHERE id < 100",
+    }
+
+
+ORACLES |= subword_oracles()

@@ -72,7 +72,7 @@ class Engine:
         vector = self.spark.createDataFrame([(0, self.query_vector(tokens))], "query_id int, q array<tinyint>")
         near = self.buckets.query(vector, 2 * k).select("doc_id", "score", "rank")
         fused = fusion.mlp(words, near, self.weights, k) if mode == "mlp" and self.weights else fusion.rrf(words, near, k)
-        fused = materialize(fused, "fused")
+        fused = self.spark.createDataFrame(fused.collect(), fused.schema)  # k rows; a search writes nothing
         winners = hydrated(fused, self.documents)
         shown = summarize.snippet_strings(winners.select("doc_id", "content"), text_col="content")
         point = self.points().join(F.broadcast(fused.select("doc_id")), "doc_id")

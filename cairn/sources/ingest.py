@@ -20,10 +20,26 @@ def status_of(valid: Column, text: Column, size: Column) -> Column:
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, path, title, content, size, status) of all supported files below ``root``.
 
-    The size limit reaches the file listing; a file over it is reported without being read. Unreadable files are skipped
-    instead of failing the job. Spark's file listing leaves out names that begin with a dot or an underscore.
+    The size limit reaches the file listing; a file over it is reported without being read. Unreadable files are left out
+    instead of failing the job; ``unread`` names them. Spark's file listing leaves out names that begin with a dot or an
+    underscore.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
+    return read_files(_listed(spark, root))
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+
+
+def unread(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, status = error) of the supported files that are listed, small enough, and could not be read."""
+    files = _listed(spark, root).where(extension_of(F.col("path")).isin(EXTENSIONS) & (F.col("length") <= MAX_BYTES))
+    got = files.where(F.col("content").isNotNull()).select("path")
+    return files.select("path", F.col("length").alias("size"), F.lit("error").alias("status")).join(got, "path", "left_anti")
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """(doc_id, path, title, content, size, status) of files (path, length, content) of a supported type."""
     files = files.where(extension_of(F.col("path")).isin(EXTENSIONS))
     small = files.where(F.col("length") <= MAX_BYTES)
     # invalid bytes fail a plain cast under ANSI rules, so validity is asked of the bytes first

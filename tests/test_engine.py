@@ -210,3 +210,46 @@ def test_hybrid_search(spark, engine, tmp_path):
     again = Engine.load(spark, str(tmp_path / "store")).search("comet telescope", 5).orderBy("rank").collect()
     assert [r["doc_id"] for r in again] == [r["doc_id"] for r in got]
     assert engine.stats().first()["documents"] == 60 and engine.points().where(F.abs("x") > 1).count() == 0
+
+
+def test_stores_change_by_a_rename(spark, engine, tmp_path):
+    from dataclasses import replace
+
+    path = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        Engine.load(spark, path)
+    engine.save(path)
+    replace(engine, version=str(int(engine.version) + 1), weights=None).save(path)
+    pointers = [p.name for p in (tmp_path / "store").glob("CURRENT-*.json")]
+    loaded = Engine.load(spark, path)
+    assert len(pointers) == 1 and loaded.version == str(int(engine.version) + 1) and loaded.weights is None
+    assert len(loaded.query_point("nothing known here")) == 2
+
+
+def test_unread_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "ok.md").write_text("words")
+    (tmp_path / "a" / "bad.txt").write_bytes(b"\xff\xfe")
+    assert ingest.unread(spark, str(tmp_path)).count() == 0  # both can be read, one is no text
+    assert {r["path"].rsplit("/", 1)[1]: r["status"] for r in ingest.scan_files(spark, str(tmp_path)).collect()} == {"ok.md": "ok", "bad.txt": "error"}
+
+
+def test_checksums(spark):
+    from cairn.functions.checksum import crc32c, crc32c_of
+
+    assert crc32c_of([b"123456789", b"", b"a"]).tolist() == [0xE3069283, 0, 0xC1D04330]
+    df = spark.createDataFrame([(b"123456789",), (None,), (b"",), (b"x" * 100_000,)], "v binary")
+    got = [r[0] for r in df.select(crc32c(df["v"])).collect()]
+    assert got[:3] == [0xE3069283, None, 0] and got[3] == crc32c_of([b"x" * 100_000])[0]
+
+
+def test_intermediate_tables_are_released(spark):
+    import os
+
+    from cairn import session
+
+    before = session.materialize(spark.range(3), "kept")
+    with session.released(spark):
+        path = session.materialize(spark.range(5), "gone").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and before.count() == 3

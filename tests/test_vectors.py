@@ -45,3 +45,24 @@ def test_exact_and_recall(spark):
     best = ann.exact(v, spark.createDataFrame([(9, [1, 0])], "query_id int, q array<tinyint>"), 2)
     assert [r["doc_id"] for r in best.orderBy("rank").collect()] == [1, 2]
     assert ann.recall(best.where("rank = 1"), best).first()["recall"] == 0.5
+
+
+def test_buckets_in_parts_and_passes_over_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-127, 128, (400, 16))
+    x[:200] = x[0]  # half of all vectors in one bucket, all equal
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, q array<tinyint>")
+    asked = df.where("doc_id % 9 = 0").selectExpr("doc_id AS query_id", "q")
+    planes = V.hashed_planes(64, 16)
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in rows.collect())
+    whole, exact = key(ann.BucketIndex(df, planes).query(asked, 7)), key(ann.exact(df, asked, 7))
+    monkeypatch.setattr(ann, "PART", 30)
+    monkeypatch.setattr(ann, "BLOCKS", 2)
+    assert key(ann.BucketIndex(df, planes).query(asked, 7)) == whole
+    assert key(ann.exact(df.repartition(3), asked, 7, block=5)) == exact
+    m = x.astype(float)
+    cos = np.round(m @ m.T / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(m, axis=1), 6)
+    for q in (0, 207, 396):
+        want = sorted(range(400), key=lambda i: (-cos[q, i], i))[:7]
+        assert [d for a, _, d, _ in exact if a == q] == want
+    assert ann.exact(df.where("false"), asked, 3).count() == 0 and ann.exact(df, asked.where("false"), 3).count() == 0
