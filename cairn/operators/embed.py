@@ -16,6 +16,10 @@ from cairn.session import materialize
 UNIT = 60
 #: A matrix of more entries than this is multiplied in its files, by the tasks.
 ON_DRIVER = 500_000
+#: A model of more token vectors than this is never in one place: the basis is a table as well.
+MODEL_ROWS = 200_000
+#: Rows and columns of the blocks in which a matrix meets such a basis.
+SIDE = 16_384
 
 
 @dataclass
@@ -59,7 +63,8 @@ def cooccurrence(tokens: DataFrame, vocab: DataFrame, window: int = 5) -> DataFr
     return both.select(F.col("p.a").alias("w1"), F.col("p.b").alias("w2"), (F.col("p.w") / F.lit(float(unit))).alias("weight"))
 
 
-def bounded(vocab: DataFrame, rows: int = 200_000) -> bool:
+def bounded(vocab: DataFrame, rows: int | None = None) -> bool:
+    rows = MODEL_ROWS if rows is None else rows
     return vocab.limit(rows + 1).count() <= rows
 
 
@@ -163,16 +168,120 @@ def product(stored: DataFrame, x: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Table:
+    """A dense matrix of ``width`` columns as a table (i, c0, c1, ...), for bases that are too long for one machine."""
+
+    def __init__(self, rows: DataFrame, width: int):
+        self.rows, self.width = rows, width
+        self.cols = [f"c{k}" for k in range(width)]
+        self.schema = "i int, " + ", ".join(f"{c} double" for c in self.cols)
+
+    def times(self, m: np.ndarray) -> _Table:
+        """The table times a small matrix."""
+        out, cols = _Table(self.rows, m.shape[1]), self.cols
+        to = out.cols
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                y = pd.DataFrame(pdf[cols].to_numpy() @ m, columns=to)
+                y.insert(0, "i", pdf["i"].to_numpy())
+                yield y
+
+        return _Table(materialize(self.rows.mapInPandas(run, out.schema), "basis"), m.shape[1])
+
+    def gram(self) -> np.ndarray:
+        """Its transpose times itself: width x width sums."""
+        cols = self.cols
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            g = np.zeros((len(cols), len(cols)))
+            for pdf in batches:
+                x = pdf[cols].to_numpy()
+                g += x.T @ x
+            yield pd.DataFrame({"g": [g.ravel().tolist()]})
+
+        parts = self.rows.mapInPandas(run, "g array<double>").select(F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g"))
+        out = np.zeros(len(cols) ** 2)
+        for r in parts.collect():
+            out[r["at"]] = r["g"]
+        return out.reshape(len(cols), -1)
+
+    def orthonormal(self) -> tuple[_Table, np.ndarray]:
+        """(an orthonormal basis of its columns, the triangular factor), by shifted Cholesky factors of its gram matrix."""
+        q, r = self, np.eye(self.width)
+        for step in range(3):
+            g = q.gram()
+            shift = 1e-13 * max(np.trace(g), 1e-300) if step == 0 else 1e-16 * np.trace(g)
+            f = np.linalg.cholesky(g + shift * np.eye(len(g))).T
+            q, r = q.times(np.linalg.inv(f)), f @ r
+        return q, r
+
+
+def _blocked(entries: DataFrame) -> DataFrame:
+    side = F.lit(SIDE)
+    at = lambda c: (F.col(c) / side).cast("int")
+    return materialize(entries.select("i", "j", "v", at("i").alias("ib"), at("j").alias("jb")).repartition("ib", "jb"), "blocks")
+
+
+def _multiply(blocked: DataFrame, x: _Table) -> _Table:
+    """A matrix in blocks times a table: a block meets the stretch of the table that its columns ask for, so a task holds at
+    most SIDE rows of it; the partial products of a row are added up."""
+    cols = x.cols
+    stretches = x.rows.withColumn("of", (F.col("i") / F.lit(SIDE)).cast("int"))
+    there = blocked.select(F.col("ib").alias("to"), F.col("jb").alias("of")).distinct().join(stretches, "of").select("to", "of", "i", *cols)
+
+    def cell(e: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(e):
+            return pd.DataFrame({"i": [], **{c: [] for c in cols}})
+        e = e.sort_values(["i", "j"], kind="stable")
+        dense = np.zeros((SIDE, len(cols)))
+        dense[q["i"].to_numpy() % SIDE] = q[cols].to_numpy()
+        rows, y = _times(e["i"].to_numpy(), e["j"].to_numpy() % SIDE, e["v"].to_numpy(), dense)
+        out = pd.DataFrame(y, columns=cols)
+        out.insert(0, "i", rows)
+        return out
+
+    parts = blocked.groupBy("ib", "jb").cogroup(there.groupBy("to", "of")).applyInPandas(cell, x.schema)
+    return _Table(materialize(parts.groupBy("i").agg(*(F.sum(c).alias(c) for c in cols)), "product"), x.width)
+
+
+def distributed_svd(entries: DataFrame, n: int, k: int, steps: int = 50, tolerance: float = 1e-6, seed: int = 42) -> tuple[DataFrame, int]:
+    """((i, vec), number of components): what ``symmetric_svd`` gives, with the basis as a table all the way. Rows without
+    entries, whose components are zero, are not there."""
+    spark, width = entries.sparkSession, min(n, k + 8)
+    blocked = _blocked(entries)
+    start = [F.randn(seed + c).alias(f"c{c}") for c in range(width)]
+    q, _ = _Table(materialize(spark.range(n).select(F.col("id").cast("int").alias("i"), *start), "start"), width).orthonormal()
+    past = None
+    for _ in range(steps):
+        q, r = _multiply(blocked, _multiply(blocked, q)).orthonormal()
+        values = np.sqrt(np.abs(np.diag(r)))
+        if past is not None and np.abs(values - past).max() <= tolerance * max(values.max(), 1e-12):
+            break
+        past = values
+    squares, turn = np.linalg.eigh(_multiply(blocked, q).gram())
+    s = np.sqrt(np.maximum(squares[::-1], 0))
+    keep = min(k, int((s > 1e-10 * max(s.max(initial=0), 1e-300)).sum()))
+    basis = q.times(turn[:, ::-1][:, :keep])
+    if not keep:
+        return basis.rows.select("i", F.array().cast("array<double>").alias("vec")), 0
+    largest = basis.rows.agg(*(F.max_by(c, F.struct(F.abs(F.col(c)), -F.col("i"))).alias(c) for c in basis.cols)).first()
+    return basis.rows.select("i", F.array(*(F.col(c) * (-1.0 if largest[c] < 0 else 1.0) for c in basis.cols)).alias("vec")), keep
+
+
 def token_vectors(tokens: DataFrame, config: Config | None = None) -> DataFrame:
     """(token, vec) of the ``max_vocab`` most used tokens (0: all). The matrix goes to the driver if it has at most
-    ``ON_DRIVER`` entries and stays in its files otherwise; the vectors themselves are a model of bounded size."""
+    ``ON_DRIVER`` entries and stays in its files otherwise; beyond ``MODEL_ROWS`` tokens the vectors are a table as well."""
     config = config or Config()
     spark = tokens.sparkSession
     vocab = materialize(vocabulary(tokens, config.min_frequency, config.max_vocab), "vocabulary")
-    if not bounded(vocab):
-        raise ValueError("more token vectors than a model may have")
     entries = materialize(ppmi(materialize(cooccurrence(tokens, vocab, config.window), "cooccurrence")), "ppmi")
-    words, size = [r["token"] for r in vocab.orderBy("i").collect()], entries.count()
+    size = entries.count()
+    if not bounded(vocab):
+        n = vocab.count()
+        basis, kept = distributed_svd(entries, n, min(config.dimensions, n), config.max_iterations, config.tolerance)
+        return vocab.join(basis, "i", "left").select("token", F.coalesce("vec", F.array_repeat(F.lit(0.0), kept)).alias("vec"))
+    words = [r["token"] for r in vocab.orderBy("i").collect()]
     if not words or not size:
         return spark.createDataFrame([], "token string, vec array<double>")
     how = (len(words), min(config.dimensions, len(words)), config.max_iterations, config.tolerance)
@@ -187,10 +296,11 @@ def token_vectors(tokens: DataFrame, config: Config | None = None) -> DataFrame:
 def document_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, vec): unit vector of the sum of the token vectors; the zero vector if no token is known.
 
-    Token vectors are a model of bounded size and travel with the tasks; texts stay where they are.
+    Up to ``MODEL_ROWS`` token vectors travel with the tasks, and texts stay where they are. More of them meet the words of the
+    texts by a join, in which words of many texts are joined by broadcast.
     """
     if not bounded(vectors):
-        raise ValueError("more token vectors than a model may have")
+        return _joined_vectors(tokens, vectors)
     model = vectors.toPandas()
     at = {t: k for k, t in enumerate(model["token"])}
     m = np.stack(model["vec"].to_numpy()).astype(np.float64) if len(model) else np.zeros((0, 0))
@@ -207,3 +317,16 @@ def document_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "vec": out})
 
     return tokens.select("doc_id", "tokens").mapInPandas(run, f"doc_id {kind}, vec array<double>")
+
+
+def _joined_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
+    from cairn.functions.vectors import normalize
+    from cairn.operators.ordering import join_counted
+
+    uses = materialize(tokens.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n")), "uses")
+    counts = uses.groupBy("token").agg(F.count("*").alias("texts"))
+    dims = vectors.select(F.size("vec")).first()[0]
+    weighed = join_counted(uses, counts.join(vectors, "token"), "token", "texts", uses.count())
+    sums = weighed.groupBy("doc_id").agg(*(F.sum(F.col("n") * F.col("vec")[k]).alias(f"c{k}") for k in range(dims)))
+    vec = F.array(*(F.coalesce(f"c{k}", F.lit(0.0)) for k in range(dims)))
+    return tokens.select("doc_id").join(sums, "doc_id", "left").select("doc_id", normalize(vec).alias("vec"))

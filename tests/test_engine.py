@@ -158,6 +158,33 @@ def test_vectors_of_the_whole_vocabulary(spark, monkeypatch):
     assert driver.keys() == tasks.keys() and all(np.allclose(driver[t], tasks[t], atol=1e-6) for t in driver)
 
 
+def test_models_beyond_one_machine(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    v = np.linalg.qr(rng.standard_normal((60, 60)))[0]
+    m = v @ np.diag([50, 20, 9, 4, *[0.1] * 56]) @ v.T
+    i, j = np.nonzero(np.ones_like(m))
+    entries = spark.createDataFrame(list(zip(i.tolist(), j.tolist(), m[i, j].tolist())), "i int, j int, v double")
+    want = embed.truncated_svd(i, j, m[i, j], 60, 4, tolerance=1e-9)
+    monkeypatch.setattr(embed, "SIDE", 16)
+    rows, kept = embed.distributed_svd(entries, 60, 4, tolerance=1e-9)
+    got = np.array([r["vec"] for r in rows.orderBy("i").collect()])
+    assert kept == 4 and np.allclose(got, want, atol=1e-5) and np.allclose(got.T @ got, np.eye(4), atol=1e-8)
+    low, kept = embed.distributed_svd(spark.createDataFrame([(0, 0, 2.0), (7, 7, 1.0)], "i int, j int, v double"), 9, 4)
+    assert kept == 2 and {r["i"]: np.round(r["vec"], 6).tolist() for r in low.collect()} == {0: [1, 0], 7: [0, 1]}
+
+    tokens = spark.createDataFrame([(k, [f"{t}{n}" for n in range(5)] * 3 + ["lone"] * (k < 2)) for k, t in enumerate("aabbbcccc")] + [(99, [])], "doc_id int, tokens array<string>")
+    config = embed.Config(dimensions=3, max_vocab=0, max_iterations=6)
+    here = {r["token"]: r["vec"] for r in embed.token_vectors(tokens, config).collect()}
+    near = {r["doc_id"]: r["vec"] for r in embed.document_vectors(tokens, embed.token_vectors(tokens, config)).collect()}
+    monkeypatch.setattr(embed, "MODEL_ROWS", 5)
+    vectors = embed.token_vectors(tokens, config)
+    far = {r["token"]: r["vec"] for r in vectors.collect()}
+    cos = lambda x, a, b: float(np.dot(x[a], x[b]) / max(1e-12, np.linalg.norm(x[a]) * np.linalg.norm(x[b])))
+    assert far.keys() == here.keys() and all(abs(cos(far, f"{a}0", f"{b}1") - cos(here, f"{a}0", f"{b}1")) < 1e-4 for a in "abc" for b in "abc")
+    docs = {r["doc_id"]: r["vec"] for r in embed.document_vectors(tokens, vectors).collect()}
+    assert docs.keys() == near.keys() and docs[99] == [0, 0, 0] and all(abs(cos(docs, 0, d) - cos(near, 0, d)) < 1e-4 for d in docs)
+
+
 def test_svd_against_numpy():
     rng = np.random.default_rng(0)
     u, v = (np.linalg.qr(rng.standard_normal((60, 60)))[0] for _ in range(2))
