@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ ON_DRIVER = 500_000
 MODEL_ROWS = 200_000
 #: Rows and columns of the blocks in which a matrix meets such a basis.
 SIDE = 16_384
+PAIRS_AT_ONCE = 500_000
 
 
 @dataclass
@@ -47,17 +50,57 @@ def vocabulary(tokens: DataFrame, min_frequency: int = 2, max_vocab: int = 10_00
 def cooccurrence(tokens: DataFrame, vocab: DataFrame, window: int = 5) -> DataFrame:
     """(w1, w2, weight): symmetric sums of 1 / distance over positions at most ``window`` apart, both tokens known.
 
-    Positions are those of the whole text: unknown tokens are blanked but keep their place. Pairs are made inside the row by
-    shifted arrays and added up before the shuffle; there is no self-join.
+    Positions are those of the whole text: unknown tokens are blanked but keep their place. Pairs are made inside the batch by
+    shifted arrays and added up before the shuffle; there is no self-join. A vocabulary of up to ``MODEL_ROWS`` tokens travels
+    with the tasks; a larger one is joined.
     """
     unit = UNIT if UNIT % max(1, window) == 0 and window <= 6 else int(np.lcm.reduce(range(1, window + 1)))
     known = vocab.select("token", "i")
-    placed = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")).join(F.broadcast(known) if bounded(known) else known, "token")
+    if bounded(known):
+        rows = known.orderBy("i").collect()
+        partial = tokens.select("tokens").mapInArrow(_pairs([r["token"] for r in rows], np.array([r["i"] for r in rows], dtype=np.int64), window, unit), "a int, b int, w bigint")
+        return _both_ways(partial.groupBy("a", "b").agg(F.sum("w").alias("w")), unit)
+    placed = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")).join(known, "token")
     rows = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "i"))).alias("ts"))
     a = rows.select(F.posexplode("ts").alias("k", "x"), "ts")
     near = a.select("x", F.explode(F.slice("ts", F.col("k") + 2, window)).alias("y")).where(F.col("y.pos") - F.col("x.pos") <= window)
     weight = (F.lit(unit) / (F.col("y.pos") - F.col("x.pos"))).cast("bigint")
     one = near.groupBy(F.least("x.i", "y.i").alias("a"), F.greatest("x.i", "y.i").alias("b")).agg(F.sum(weight).alias("w"))
+    return _both_ways(one, unit)
+
+
+def _pairs(words: list[str], ids: np.ndarray, window: int, unit: int) -> Callable:
+    """Sums of the weights of pairs (a <= b) in each stretch of about PAIRS_AT_ONCE tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = pa.array(words, pa.string()), int(ids.max(initial=0)) + 1
+        for b in batches:
+            col = b.column(0)
+            ends, at = col.offsets.to_numpy(), 0
+            while at < len(col):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + PAIRS_AT_ONCE, side="right")) - 1)
+                part = col.slice(at, to - at)
+                sizes, at = np.diff(ends[at : to + 1]), to
+                where = pc.index_in(part.flatten().cast(pa.string()), value_set=known).fill_null(-1).to_numpy()
+                i = np.where(where >= 0, ids[np.maximum(where, 0)], -1) if len(ids) else np.full(len(where), -1)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                keys, weights = [], []
+                for d in range(1, window + 1):
+                    x, y = i[:-d], i[d:]
+                    both = np.flatnonzero((x >= 0) & (y >= 0) & (doc[:-d] == doc[d:]))
+                    keys.append(np.minimum(x[both], y[both]) * n + np.maximum(x[both], y[both]))
+                    weights.append(np.full(len(both), unit // d, dtype=np.int64))
+                key = np.concatenate(keys)
+                if len(key):
+                    order = np.argsort(key, kind="stable")
+                    key, w = key[order], np.concatenate(weights)[order]
+                    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array((key[start] // n).astype(np.int32)), pa.array((key[start] % n).astype(np.int32)), pa.array(np.add.reduceat(w, start))], names=["a", "b", "w"])
+
+    return run
+
+
+def _both_ways(one: DataFrame, unit: int) -> DataFrame:
     # a pair of one token with itself is met once and counts for both directions
     both = one.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", (F.col("w") * 2).alias("w")))).otherwise(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w")))).alias("p"))
     return both.select(F.col("p.a").alias("w1"), F.col("p.b").alias("w2"), (F.col("p.w") / F.lit(float(unit))).alias("weight"))

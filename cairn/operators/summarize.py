@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from cairn.functions.text import bag_words, sentences
 from cairn.session import spread
 
 TOP, BUDGET, DAMPING, MAX_STEPS, TOLERANCE = 3, 500, 0.85, 50, 1e-6
+DENSE = 256  # sentences of a text whose similarities are worked on as a matrix
 
 
 def similarity_matrix(bags: list[list[str]]) -> np.ndarray:
@@ -44,11 +46,38 @@ def pagerank(adjacency: np.ndarray, damping: float = DAMPING, steps: int = MAX_S
     return rank
 
 
+def ranks(bags: list[list[str]]) -> np.ndarray:
+    """``pagerank`` of the similarity matrix. For long texts neither that matrix nor the table of words is made: with the words'
+    normed counts N a step is N (N' x) without each sentence's part in itself, which takes time and room in proportion to the words."""
+    if len(bags) <= DENSE:
+        return pagerank(similarity_matrix(bags))
+    words: dict[str, int] = {}
+    cells = Counter((i, words.setdefault(w, len(words))) for i, b in enumerate(bags) for w in b)
+    at = np.array(list(cells), dtype=np.int64).reshape(-1, 2)
+    v, n = np.array(list(cells.values()), dtype=float), len(bags)
+    norm = np.sqrt(np.bincount(at[:, 0], v * v, n))
+    v = v / norm[at[:, 0]]
+    own = (norm > 0).astype(float)  # similarity of a sentence with itself
+
+    def spread_of(x: np.ndarray) -> np.ndarray:
+        return np.bincount(at[:, 0], v * np.bincount(at[:, 1], v * x[at[:, 0]], len(words))[at[:, 1]], n) - own * x
+
+    out = spread_of(np.ones(n))
+    rank = np.full(n, 1.0 / n)
+    for _ in range(MAX_STEPS):
+        following = (1 - DAMPING) / n + DAMPING * spread_of(np.divide(rank, out, out=np.zeros(n), where=out >= 1e-10))
+        done = np.linalg.norm(following - rank) < TOLERANCE
+        rank = following
+        if done:
+            break
+    return rank
+
+
 def pick(parts: list[str], bags: list[list[str]]) -> list[tuple[int, float]]:
     """(position, score) of the sentences of the snippet. Up to three sentences are all taken, whatever their length."""
     if len(parts) <= TOP:
         return [(i, 1.0) for i in range(len(parts))]
-    scores = np.round(pagerank(similarity_matrix(bags)), 12)
+    scores = np.round(ranks(bags), 12)
     chosen = sorted(sorted(range(len(parts)), key=lambda i: (-scores[i], i))[:TOP])
     out, size = [], 0
     for i in chosen:

@@ -173,7 +173,7 @@ def mlp_training_targets(spark: SparkSession, d: str) -> DataFrame:
 
 def mlp_train_sgd(spark: SparkSession, d: str) -> DataFrame:
     _, losses = ranker.trained(spark)
-    return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
+    return spark.createDataFrame([(i + 1, round(float(x), 9)) for i, x in enumerate(losses)], "epoch bigint, loss double")
 
 
 def _cooccurring(spark: SparkSession, d: str, max_vocab: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -173,11 +173,12 @@ ix AS (SELECT token, row_number() OVER (ORDER BY token) AS i FROM vo) """
 )
 
 
-def _sgd() -> str:
-    """One step of gradient descent per row of a recursive query; each weight is a column."""
+def _sgd(start: dict, steps: int, last: str = "") -> str:
+    """One step of gradient descent per row of a recursive query; each weight is a column, and so is the step's squared error.
+    Ends with ``last`` or else the weights after all steps."""
     hid, feats = range(4), ("b", "e", "r")
-    w1 = {f"w{k}_{j}": R.WEIGHTS["w1"][k][j] for k in range(3) for j in hid}
-    b1, w2, b2 = {f"c{j}": R.WEIGHTS["b1"][j] for j in hid}, {f"v{j}": R.WEIGHTS["w2"][j][0] for j in hid}, {"o": R.WEIGHTS["b2"][0]}
+    w1 = {f"w{k}_{j}": start["w1"][k][j] for k in range(3) for j in hid}
+    b1, w2, b2 = {f"c{j}": start["b1"][j] for j in hid}, {f"v{j}": start["w2"][j][0] for j in hid}, {"o": start["b2"][0]}
     every = w1 | b1 | w2 | b2
     z = ", ".join(f"c{j} + " + " + ".join(f"u.{f} * w{k}_{j}" for k, f in enumerate(feats)) + f" AS z{j}" for j in hid)
     y = "1 / (1 + exp(-(o + " + " + ".join(f"greatest(0, z{j}) * v{j}" for j in hid) + "))) AS y"
@@ -187,9 +188,9 @@ def _sgd() -> str:
     names = {**{c: f"w1_{i}" for i, c in enumerate(w1)}, **{c: f"b1_{i}" for i, c in enumerate(b1)}, **{c: f"w2_{i}" for i, c in enumerate(w2)}, "o": "b2_0"}
     u = R._U
     return f"""WITH RECURSIVE x AS MATERIALIZED (SELECT i, {u.format(t='b')} AS b, {u.format(t='e')} AS e, {u.format(t='r')} AS r FROM range(1000) t(i)), u AS MATERIALIZED (SELECT *, least(1, 0.5 * b + 0.3 * e + 0.2 * r + 0.5 * b * e) AS t FROM x),
-st(i, {cols}) AS (SELECT 0::BIGINT, {', '.join(f'{v}::DOUBLE' for v in every.values())} UNION ALL
-  SELECT i + 1, {', '.join(new)} FROM (SELECT *, 2 * (y - t) / 1000 * y * (1 - y) AS g FROM (SELECT *, {y} FROM (SELECT st.*, u.b, u.e, u.r, u.t, {z} FROM st JOIN u ON u.i = st.i) s) s) s),
-l AS (SELECT * FROM st WHERE i = 1000) """ + " UNION ALL ".join(f"SELECT '{n}' AS weight, round({c}, 9) AS value FROM l" for c, n in names.items())
+st(i, loss, {cols}) AS (SELECT 0::BIGINT, 0::DOUBLE, {', '.join(f'{float(v)!r}::DOUBLE' for v in every.values())} UNION ALL
+  SELECT i + 1, (y - t) * (y - t), {', '.join(new)} FROM (SELECT *, 2 * (y - t) / 1000 * y * (1 - y) AS g FROM (SELECT *, {y} FROM (SELECT st.*, u.b, u.e, u.r, u.t, {z} FROM st JOIN u ON u.i = st.i % 1000 WHERE st.i < {steps}) s) s) s),
+l AS (SELECT * FROM st WHERE i = {steps}) """ + (last or " UNION ALL ".join(f"SELECT '{n}' AS weight, round({c}, 9) AS value FROM l" for c, n in names.items()))
 
 
 _ONE = "(SELECT min(query_id) FROM search_result{})"
@@ -205,7 +206,8 @@ ORACLES = {
     "svd_rules": _PPMI + " SELECT (SELECT count(*) FROM ix) AS tokens, round(sum(v * v), 2) AS weight, true AS orthonormal, true AS keeps_most FROM m WHERE v > 0",
     "gaussian_planes": """WITH u AS (SELECT i, j, (('0x' || substr(md5('u:' || i || ':' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u, (('0x' || substr(md5('v:' || i || ':' || j), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS v FROM range(16) a(i), range(64) b(j)),
   g AS (SELECT i, j, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS x FROM u) SELECT i AS plane, j AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY i)), 6) AS x FROM g""",
-    "mlp_sgd_steps": _sgd(),
+    "mlp_sgd_steps": _sgd(R.WEIGHTS, 1000),
+    "mlp_train_sgd": _sgd(ranker.initial(), 100_000, "SELECT (i - 1) // 1000 + 1 AS epoch, round(sum(loss) / 1000, 9) AS loss FROM st WHERE i > 0 GROUP BY 1"),
     "scan_tree": "SELECT 'ok' AS status, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL",
     "scan_guards": """WITH v AS (SELECT split_part(key, ':', 1) AS family, octet_length(value) AS n, try(decode(value)) AS t FROM kv_log WHERE key IS NOT NULL AND value IS NOT NULL)
   SELECT family, CASE WHEN t IS NULL THEN 'error' WHEN NOT regexp_matches(t, '[^\\t-\\r \\x{85}\\p{Z}]') THEN 'skipped' ELSE 'ok' END AS status, count(*) AS files, sum(n)::BIGINT AS bytes FROM v GROUP BY ALL""",

@@ -280,3 +280,33 @@ def test_intermediate_tables_are_released(spark):
         path = session.materialize(spark.range(5), "gone").inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path) and before.count() == 3
+
+
+def test_long_texts_are_ranked_without_a_matrix(monkeypatch):
+    import random
+
+    from cairn.operators import summarize
+
+    r = random.Random(3)
+    bags = [[f"w{r.randrange(60)}" for _ in range(r.randrange(0, 9))] for _ in range(200)] + [["alone"], []]
+    dense = summarize.ranks(bags)
+    monkeypatch.setattr(summarize, "DENSE", 5)
+    assert np.allclose(summarize.ranks(bags), dense, atol=1e-12)
+    long = [[f"w{r.randrange(5000)}" for _ in range(8)] for _ in range(60_000)]  # 3.6e9 similarities
+    assert len(summarize.ranks(long)) == 60_000
+
+
+def test_pairs_of_a_joined_vocabulary(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, [f"t{r.randrange(30)}" for _ in range(r.randrange(0, 60))]) for i in range(50)]
+    tokens = spark.createDataFrame(rows, "doc_id int, tokens array<string>")
+    vocab = embed.vocabulary(tokens, 2, 25)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(embed.cooccurrence(tokens, vocab, 5))
+    monkeypatch.setattr(embed, "PAIRS_AT_ONCE", 50)
+    assert key(embed.cooccurrence(tokens, vocab, 5)) == whole
+    monkeypatch.setattr(embed, "MODEL_ROWS", 3)
+    assert key(embed.cooccurrence(tokens, vocab, 5)) == whole and len(whole) > 300
+    assert embed.cooccurrence(tokens.where("false"), vocab, 5).count() == 0 and embed.cooccurrence(tokens, vocab.where("false"), 5).count() == 0
