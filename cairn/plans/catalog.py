@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from cairn.plans import feed, retrieval, stated
+from cairn.session import tidy
 
 MODULES = [retrieval, stated, feed]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    """By name; each deletes the intermediate tables that its result does not read."""
+    return {k: tidy(f) for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:

@@ -11,8 +11,10 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,6 +112,30 @@ def released(spark: SparkSession) -> Iterator[None]:
         _WRITTEN.setdefault(app, [])[:0] = kept
 
 
+def tidy(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query`` (spark, ...) such that only those of its intermediate tables stay that its result still reads; the others are
+    deleted before it returns. ``release`` deletes the rest when the results are written or collected."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *rest, **how) -> DataFrame:  # noqa: ANN002, ANN003
+        app = spark.sparkContext.applicationId
+        before = _WRITTEN.pop(app, [])
+        try:
+            result = query(spark, *rest, **how)
+            read = {unquote(f).removeprefix("file://") for f in result.inputFiles()}
+            mine = _WRITTEN.get(app, [])
+            needed = [p for p in mine if any(f.startswith(p.removeprefix("file://") + "/") for f in read)]
+            for p in set(mine) - set(needed):
+                fs, at = file_system(spark, p)
+                fs.delete(at(p), True)
+            _WRITTEN[app] = needed
+            return result
+        finally:
+            _WRITTEN[app] = [*before, *_WRITTEN.get(app, [])]
+
+    return run
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the files, not from the lineage."""
     path = scratch_path(df.sparkSession, label)

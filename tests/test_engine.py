@@ -280,6 +280,18 @@ def test_intermediate_tables_are_released(spark):
         path = session.materialize(spark.range(5), "gone").inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path) and before.count() == 3
+    paths = {}
+
+    def query(spark, n):
+        for name in ("read", "other"):
+            table = session.materialize(spark.range(n), name)
+            paths[name] = table.inputFiles()[0].removeprefix("file://")
+            if name == "read":
+                out = table.groupBy("id").count()
+        return out
+
+    result = session.tidy(query)(spark, 4)
+    assert os.path.exists(paths["read"]) and not os.path.exists(paths["other"]) and result.count() == 4 and before.count() == 3
 
 
 def test_long_texts_are_ranked_without_a_matrix(monkeypatch):
