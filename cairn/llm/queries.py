@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm import markup, mixture, neardup, neighbours, packing, rankfuse, subjects, terms, tokens, vocabulary
-from cairn.session import materialize
+from cairn.operators import ann
+from cairn.session import materialize, tidy
 from cairn.sources.tables import table
 
 SCORES = ["score", "bm25_score", "embed_score"]
@@ -111,6 +112,24 @@ def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near[0].unionByName(near[1])
 
 
+def p7_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether at least nine tenths of the exact neighbours are found, for every token vector and for the document vectors whose
+    id ends in 0; the exact ones come from all vectors, in blocks."""
+    out = None
+    for name, key, vec in (("doc_vec", "doc_id", "q"), ("token_vec", "token", "vec")):
+        index = neighbours.VectorIndex(table(spark, d, name), key, vec)
+        asked = index.vectors.where(F.col("id").endswith("0")) if name == "doc_vec" else index.vectors
+        found = materialize(index.search(asked).select(F.col("id").alias("query_id"), F.col("neighbour").alias("doc_id")), "found")
+        # the vector itself is the nearest of all, so one more is asked for
+        rows = index.vectors.select(F.col("id").alias("doc_id"), F.col("vec").alias("q"))
+        exact = ann.exact(rows, rows.join(asked.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id"), 6)
+        wanted = exact.where("query_id <> doc_id").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 5")
+        one = ann.recall(found, wanted).agg(F.count("*").alias("asked"), F.avg("recall").alias("recall"))
+        one = one.select(F.lit(name).alias("vectors"), "asked", (F.col("recall") >= 0.9).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
     """The parameter table of container sizes."""
     rows = table(spark, d, "pack_capacity").where("pack_id IS NOT NULL AND capacity_tokens > 0").distinct().orderBy("pack_id", "capacity_tokens").collect()
@@ -189,6 +208,12 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).select(F.col("id").alias("doc_id"), "subject")
 
 
+def p10_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Each labelling function: on which part of the sentences it votes, and its learned accuracy."""
+    model = subjects.SubjectModel(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+    return model.functions().select("function", F.round("coverage", 4).alias("coverage"), F.round("accuracy", 4).alias("accuracy"))
+
+
 def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     """What the corpus is about."""
     return subjects.composition(_subjects(spark, d))
@@ -225,8 +250,9 @@ j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.
 
 QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes,
     "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups,
-    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint, "p8_rules": p8_rules,
-    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_composition": p10_composition}
+    "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p7_recall": p7_recall, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint, "p8_rules": p8_rules,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_composition": p10_composition, "p10_functions": p10_functions}
+QUERIES = {name: tidy(query) for name, query in QUERIES.items()}
 ORACLES = {
     "p1_found": _POSTINGS + """, b AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY df, weight DESC, token) AS rn
   FROM w WHERE tf >= 3 AND df >= 2) SELECT probe_id, token FROM probes JOIN b ON target_id = doc_id WHERE rn = 1 AND purpose = 'keyword'""",
@@ -253,6 +279,8 @@ ORACLES = {
   cc(rep, g) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT o, g FROM cc JOIN (SELECT p AS i, q AS o FROM e UNION SELECT q, p FROM e) ON i = rep),
   l AS (SELECT rep, min(g) AS group_id FROM cc GROUP BY 1)
   SELECT id AS doc_id, rep, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m JOIN l USING (rep)""",
+    "p7_recall": """SELECT 'doc_vec' AS vectors, count(DISTINCT doc_id) AS asked, true AS enough FROM doc_vec WHERE doc_id LIKE '%0' AND len(q) = 64 AND list_sum(list_transform(q, lambda x: abs(x::DOUBLE))) > 0
+  UNION ALL SELECT 'token_vec', count(DISTINCT token), true FROM token_vec WHERE len(vec) = 64 AND list_sum(list_transform(vec, lambda x: abs(x))) > 0""",
     "p8_rules": """SELECT pack_id, (SELECT count(*) FROM documents WHERE text <> '') AS items, 0::BIGINT AS bad_containers, 0::BIGINT AS cut_texts, 0::BIGINT AS bad_texts
   FROM (SELECT DISTINCT pack_id FROM pack_capacity WHERE pack_id IS NOT NULL AND capacity_tokens > 0 UNION ALL SELECT NULL)""",
     "p9_rules": """WITH k AS (SELECT DISTINCT lower(regexp_replace(source, '[^\\p{L}\\p{Nd}]', '', 'g')) AS k FROM documents WHERE text <> ''),

@@ -289,7 +289,8 @@ def learn_names(labelled: DataFrame, col: str, subjects: list[str], about: dict[
     counts = _select(_weighed(labelled, col), subjects, 3.0, _G_MIN)
     own: dict[str, set[int]] = {}
     for k, s in enumerate(subjects):
-        for w in set(re.findall(r"[^\W\d_]{4,}", f"{s} {about.get(s) or ''}".casefold())):
+        described = re.findall(r"[^\W\d_]{4,}", (about.get(s) or "").casefold())  # shorter words are those of every description
+        for w in {*re.findall(r"[^\W\d_]+", s.casefold()), *described}:
             own.setdefault(w, set()).add(k)
     hashes = _Hashes()
     for w, of in own.items():

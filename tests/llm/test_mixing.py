@@ -145,6 +145,45 @@ def test_subjects(spark):
     assert {x["subject"] for x in total} == {"law", "sport", "space"}
 
 
+def test_names_decide_where_terms_do_not(spark):
+    """Words that two subjects share say nothing alone; the folder or the source does, and the model learns to trust it."""
+    r = random.Random(6)
+    rows, truth = [], {}
+    for i in range(600):
+        vague = i % 5 == 1
+        s = r.choice(["law", "sport"] if vague else ["law", "sport", "space", "space"])
+        shared = ["ruling"] if s != "space" and i % 3 == 0 else []
+        lines = [f"Ruling and more ruling of the name{r.randrange(400)}." for _ in range(2)] if vague else [" ".join(["The", *r.sample(NOUNS[s], 2), *shared, f"name{r.randrange(400)}"]) + "." for _ in range(4)]
+        rows.append((i, " ".join(lines), "en", f"{s}-desk" if i % 7 else "notes", f"/x/{s}/{i % 7}" if i % 3 else "/x/misc/1"))
+        truth[i] = s
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(600) if i % 5 in (0, 2)], "doc_id bigint, subject string")
+    areas = spark.createDataFrame([("law", "Courts"), ("sport", "Players"), ("space", None)], "subject string, about string")
+    df = spark.createDataFrame(rows, D)
+    right = {}
+    for name, how in (("all", {}), ("terms", {"address_col": "none", "source_col": "lang"})):
+        model = subjects.SubjectModel(df, labels, areas, **how)
+        got = {}
+        for x in model.document_subjects().collect():
+            got.setdefault(x["id"], set()).add(x["subject"])
+        right[name] = sum(got.get(i) == {truth[i]} for i in range(1, 600, 5))
+        told = {x["function"]: x for x in model.functions().collect()}
+        if name == "all":
+            assert told["address"]["coverage"] > 0.5 and told["source"]["coverage"] > 0.5 and told["address"]["accuracy"] > 0.9 and told["source"]["accuracy"] > 0.9
+        else:
+            assert told["address"]["coverage"] == 0
+    assert right["all"] > 108 and right["terms"] < 90  # of 120
+
+
+def test_patterns_in_jobs(spark, monkeypatch):
+    rows, truth = made(docs=120)
+    labels = spark.createDataFrame([(i, s) for i in truth if i % 2 for s in truth[i]], "doc_id bigint, subject string")
+    areas = spark.createDataFrame([(s, None) for s in NOUNS], "subject string, about string")
+    monkeypatch.setattr(subjects, "TERMS_AT_ONCE", 300)
+    one = subjects.SubjectModel(spark.createDataFrame(rows, D), labels, areas)
+    acc, prior = one._fit_in_jobs(3)
+    assert np.allclose(acc, one.accuracy) and np.allclose(prior, one.prior)
+
+
 def test_subjects_without_labels(spark):
     rows, _ = made(docs=20)
     none = spark.createDataFrame([], "doc_id bigint, subject string")
