@@ -193,6 +193,7 @@ def _plain(s: str) -> str:
         for _ in range(2):
             s = re.sub(r"\{\\(?:bf|it|em|tt|sc|rm|sf|sl)\s+([^{}\n]*+)\}", r"\1", s)
             s = re.sub(r"\\[A-Za-z]+\*?(?:\[[^\[\]\n]*+\])?\{([^{}\n]*+)\}", r"\1", s)
+        s = re.sub(r"\\(?:textbf|textit|textsc|emph|texttt|underline|footnote|caption)\{", "", s)  # one that never closes
     if "*" in s:
         s = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]*+)(?<=[^\s*])\1(?![\w*])", r"\2", s)
     if "_" in s:
@@ -442,3 +443,11 @@ def structure(extracted: DataFrame) -> DataFrame:
     head = F.array(F.struct(F.lit("markup").alias("kind"), F.lit(0).alias("pos")))
     every = F.concat(head, *(of_kind(k) for k in KINDS))
     return extracted.where("markup").select("id", F.explode(every).alias("e")).select("id", "e.kind", "e.pos")
+
+
+def residue(extracted: DataFrame, signs: dict[str, str]) -> DataFrame:
+    """(sign, records, left): of each kind of markup (name and pattern), the number of records and of those whose clean text
+    still has it. Code blocks and formulas are no residue."""
+    words = F.array_join(F.transform(F.filter("blocks", lambda b: ~b["kind"].isin("code_block", "formula")), lambda b: b["text"]), "\n")
+    counts = extracted.select(words.alias("t")).agg(F.count("*").alias("records"), *(F.count_if(F.col("t").rlike(p)).alias(n) for n, p in signs.items()))
+    return counts.select("records", F.inline(F.array(*(F.struct(F.lit(n).alias("sign"), F.col(n).alias("left")) for n in signs)))).select("sign", "records", "left")

@@ -73,6 +73,27 @@ def p5_votes(spark: SparkSession, d: str) -> DataFrame:
     return markup.votes(markup.pages(table(spark, d, "documents_idx").select("doc_id", "path", "content")))
 
 
+#: Markup that should be gone from clean text.
+SIGNS = {
+    "tag": r"(?i)</?(?:p|div|span|b|i|em|strong|ul|ol|li|h[1-6]|br|table|tr|td|center|font)(?:\s[^<>]*)?/?>",
+    "wiki": r"\[\[|\]\]|\{\{|\}\}|'''",
+    "latex": r"\\(?:textbf|textit|emph|section|begin|end|item|cite|ref)\b",
+    "link": r"\]\(",
+    "comment": r"<!--|-->",
+    "entity": r"&(?:nbsp|amp|lt|gt|quot);",
+}
+
+
+def p5_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Records with each kind of markup before cleaning, and whether fewer than one in two hundred has it still."""
+    docs = table(spark, d, "documents_idx").select("doc_id", "path", "content")
+    one = docs.where("doc_id IS NOT NULL AND content IS NOT NULL").groupBy("doc_id").agg(F.min("content").alias("c"))
+    before = one.agg(*(F.count_if(F.col("c").rlike(p)).alias(n) for n, p in SIGNS.items()))
+    before = before.select(F.inline(F.array(*(F.struct(F.lit(n).alias("sign"), F.col(n).alias("before")) for n in SIGNS))))
+    left = markup.residue(markup.extract(docs), SIGNS)
+    return before.join(left, "sign").select("sign", "before", (F.col("left") * 200 <= F.col("records")).alias("gone"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records whose sets of three consecutive words have a similarity of at least 0.6."""
     docs = table(spark, d, "documents_idx").select("doc_id", "content")
@@ -248,7 +269,7 @@ c AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.s
 j AS (SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= {t})
 """
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes,
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_ranking": p2_ranking, "p4_found": p4_found, "p4_frequencies": p4_frequencies, "p5_found": p5_found, "p5_text": p5_text, "p5_votes": p5_votes, "p5_residue": p5_residue,
     "p6_found": p6_found, "p6_links": p6_links, "p6_groups": p6_groups,
     "p7_found": p7_found, "p7_neighbours": p7_neighbours, "p7_recall": p7_recall, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_joint": p8_joint, "p8_rules": p8_rules,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_rules": p9_rules, "p10_found": p10_found, "p10_composition": p10_composition, "p10_functions": p10_functions}
@@ -279,6 +300,8 @@ ORACLES = {
   cc(rep, g) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT o, g FROM cc JOIN (SELECT p AS i, q AS o FROM e UNION SELECT q, p FROM e) ON i = rep),
   l AS (SELECT rep, min(g) AS group_id FROM cc GROUP BY 1)
   SELECT id AS doc_id, rep, group_id, count(*) OVER (PARTITION BY group_id) AS group_size FROM m JOIN l USING (rep)""",
+    "p5_residue": "WITH r AS (SELECT doc_id, min(content) AS c FROM documents_idx WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY 1) " + " UNION ALL ".join(
+        "SELECT '" + n + "' AS sign, count(*) FILTER (regexp_matches(c, '" + p.replace("'", "''") + "')) AS before, true AS gone FROM r" for n, p in SIGNS.items()),
     "p7_recall": """SELECT 'doc_vec' AS vectors, count(DISTINCT doc_id) AS asked, true AS enough FROM doc_vec WHERE doc_id LIKE '%0' AND len(q) = 64 AND list_sum(list_transform(q, lambda x: abs(x::DOUBLE))) > 0
   UNION ALL SELECT 'token_vec', count(DISTINCT token), true FROM token_vec WHERE len(vec) = 64 AND list_sum(list_transform(vec, lambda x: abs(x))) > 0""",
     "p8_rules": """SELECT pack_id, (SELECT count(*) FROM documents WHERE text <> '') AS items, 0::BIGINT AS bad_containers, 0::BIGINT AS cut_texts, 0::BIGINT AS bad_texts
