@@ -135,8 +135,12 @@ class VectorIndex:
         coded = materialize(self.vectors.mapInPandas(encode, f"id {self.kind}, vec array<double>, list int, code binary"), "codes")
         self.sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # one row per list
         self.blocks = [-(-self.sizes.get(i, 0) // BLOCK) for i in range(len(model.centroids))]
-        n_blocks = F.element_at(F.array(*map(F.lit, self.blocks)), F.col("list") + 1)
-        self.rows = coded.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+        self.rows = coded.join(self._of_list(self.blocks), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    def _of_list(self, parts: list[int]) -> DataFrame:
+        """(list, parts) of the lists with any part, to be broadcast: one row per list."""
+        rows = [(i, int(n)) for i, n in enumerate(parts) if n]
+        return F.broadcast(self.vectors.sparkSession.createDataFrame(rows, "list int, parts int"))
 
     def probes_for(self, k: int = 5) -> int:
         """The fewest nearest lists that hold ``FOUND`` of the exact ``k`` neighbours of the trial vectors. Each task keeps the
@@ -198,10 +202,10 @@ class VectorIndex:
         if not asked:
             return spark.createDataFrame([], out)
         q_blocks = [asked.get(i, 0) for i in range(len(blocks))]
-        at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("list") + 1)
-        wanted = wanted.withColumn("qb", F.pmod(F.xxhash64("qid"), at(q_blocks)).cast("int"))
-        wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), at([max(0, b - 1) for b in self.blocks]))))
-        there = self.rows.where(at(q_blocks) > 0).withColumn("qb", F.explode(F.sequence(F.lit(0), at([max(0, b - 1) for b in q_blocks]))))
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        wanted = wanted.join(self._of_list(q_blocks), "list").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int")).drop("parts")
+        wanted = wanted.join(self._of_list(self.blocks), "list").withColumn("block", every).drop("parts")
+        there = self.rows.join(self._of_list(q_blocks), "list").withColumn("qb", every).drop("parts")
 
         def cell(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(x):
