@@ -33,7 +33,7 @@ def places(scored: DataFrame, n_scores: int) -> DataFrame:
     is still spread over the tasks; so is a score that a third of the items share, for all joins know how many rows a key has.
     """
     long = scored.select("g", "item", F.posexplode("vals").alias("s", "v"))
-    numbered = number_rows(long.where(F.col("v").isNotNull()), ["g", "s", F.desc("v")], out="pos", label="places")
+    numbered = number_rows(long.where(F.col("v").isNotNull()), ["g", "s", F.desc("v"), "item"], out="pos", label="places")  # the item splits ties over the tasks
     first = materialize(numbered.groupBy("g", "s", "v").agg(F.min("pos").alias("at"), F.count("*").alias("n")), "values")
     lists = first.groupBy("g", "s").agg(F.min("at").alias("start"), F.sum("n").alias("n"), F.count("*").alias("values"))
     lists = materialize(lists, "lists")
